@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
+#: Where this package lies; a cluster ships it with --py-files instead.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def session(df: DataFrame) -> SparkSession:
+    env = df.sparkSession.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.sparkSession
