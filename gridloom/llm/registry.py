@@ -2,8 +2,9 @@
 
 from gridloom.llm.binary import op9_token_files
 from gridloom.llm.chat import op1_chat_format
+from gridloom.llm.decontaminate import op4_decontamination
 from gridloom.llm.packing import op2_packing
 from gridloom.llm.simhash import op5_simhash_neardup
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op5_simhash_neardup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op4_decontamination, op5_simhash_neardup, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
