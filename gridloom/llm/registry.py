@@ -5,6 +5,7 @@ from gridloom.llm.chat import op1_chat_format
 from gridloom.llm.decontaminate import op4_decontamination
 from gridloom.llm.packing import op2_packing
 from gridloom.llm.simhash import op5_simhash_neardup
+from gridloom.llm.substrings import op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op4_decontamination, op5_simhash_neardup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_packing, op4_decontamination, op5_simhash_neardup, op7_substring_dedup, op9_token_files)}
 ORACLE_SQL: dict[str, str] = {}
