@@ -9,16 +9,28 @@ pieces in order. Texts with unusual white space or special strings are encoded w
 from __future__ import annotations
 
 import os
-import re
 import struct
+from unicodedata import is_normalized
+
+import numpy as np
 
 END_ID = 2
 #: Pieces kept by a Python worker; beyond it the cache starts again.
-CACHE_PIECES = 400_000
-#: Characters on which Python and the tokenizers' patterns disagree about white space.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]|<\\|")
+CACHE_PIECES = 600_000
+#: Strings joined for one call of the library.
+JOINED = 256
+#: Marks that end many words; a vocabulary never merges them with the letters before.
+MARKS = ".,!?:;&%$#*"
+#: Characters on which Python and the tokenizers' patterns may disagree about white space, and special strings.
+ODD = ["<|", *map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF])]
 #: White space other than single spaces and newlines between visible characters.
-LOOSE = re.compile(r"\s\s|[\t\r\x0b\x0c]|^\s|\s$")
+LOOSE = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
+
+
+#: Byte-level vocabularies write bytes as visible characters: those that aren't printable, in order, from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+VISIBLE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 class Encoder:
@@ -28,18 +40,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), kind, {}
+        self.tokenizer, self.kind, self.cache, self.words = Tokenizer.from_file(path), kind, {}, {}
+        # between the strings of one call; texts that hold such strings are never cut into pieces
+        self.end = "<|endoftext|>"
+        self.end_id = self.tokenizer.token_to_id(self.end)
+        self.mark = "\r" if kind == "byte" else ""
 
     def _pack(self, encoding) -> bytes:
         ids = encoding.ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pieces(self, text: str) -> list[str] | None:
-        if ODD.search(text):
+        if any(map(text.__contains__, ODD)):
             return None
         if self.kind == "word":
             return text.split()
-        if LOOSE.search(text):
+        if any(map(text.__contains__, LOOSE)) or text != text.strip():
             return None
         out = text.replace("\n", " \n").split(" ")
         out[0] = "\r" + out[0]  # marks a piece without the space before it
@@ -50,20 +66,53 @@ class Encoder:
             return piece
         return piece[1:] if piece[0:1] == "\r" else piece if piece[0:1] == "\n" else " " + piece
 
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        """Strings whose ids, in order, are those of the piece: many pieces share a word and differ in what follows it."""
+        word = piece.rstrip(MARKS)
+        if word == piece or not word[-1:].isalpha():
+            word = piece
+        tail = (self.mark + piece[len(word) :],) if len(word) < len(piece) else ()
+        if self.kind == "word":
+            return (word if "\u03a3" in word or "\u0130" in word else word.lower(), *tail)
+        return ("\r\n", "\r" + word[1:], *tail) if word[0:1] == "\n" and len(word) > 1 else (word, *tail)
+
+    def _learn(self, pieces: list[str]) -> None:
+        parts = [self._parts(p) for p in pieces]
+        words = self.words
+        new, model, rest = {x for p in parts for x in p}.difference(words), self.tokenizer.model, []
+        for x in new:  # a run of letters goes straight to the merges
+            letters = self._source(x)
+            if letters.lstrip(" ").isalpha() and (letters.isascii() or self.kind == "byte" or letters == letters.lower() and is_normalized("NFC", letters)):
+                ids = [t.id for t in model.tokenize(letters.replace(" ", VISIBLE[32]) if letters.isascii() else letters.encode().decode("latin-1").translate(VISIBLE))]
+                words[x] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(x)
+        new = rest
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            rows = [part[i : i + JOINED] for i in range(0, len(part), JOINED)]
+            found = self.tokenizer.encode_batch_fast([self.end.join([self._source(x) for x in row]) for row in rows], add_special_tokens=False)
+            for row, e in zip(rows, found):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.end_id).tolist()
+                flat, start = ids.tobytes(), 0
+                for x, cut in zip(row, [*cuts, len(ids)], strict=True):
+                    words[x] = flat[4 * start : 4 * cut]
+                    start = cut + 1
+        for piece, p in zip(pieces, parts):
+            self.cache[piece] = words[p[0]] if len(p) == 1 else b"".join([words[x] for x in p])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cache = self.cache
-        new = {p for pieces in split if pieces for p in pieces}.difference(cache)
+        if len(self.words) > CACHE_PIECES:
+            self.words.clear()
+        new = {p for pieces in split if pieces for p in pieces}.difference(self.cache)
         if new:
-            new = list(new)
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                for piece, e in zip(part, self.tokenizer.encode_batch_fast([self._source(p) for p in part], add_special_tokens=False)):
-                    cache[piece] = self._pack(e)
+            self._learn(list(new))
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, split) if p is None], add_special_tokens=False))
-        return [self._pack(next(whole)) if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
+        return [self._pack(next(whole)) if p is None else b"".join(map(self.cache.__getitem__, p)) for p in split]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
