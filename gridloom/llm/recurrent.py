@@ -204,7 +204,7 @@ class Lexicon:
         self.tokens, self.kinds = tokens, kinds
         self.tail_mass = tail_total + 0.1 * (tail_kinds + 1)
         self.id = {w: self.head[w] if w in self.head else HEAD + tail_class(w) for w in words} | {END: 0}
-        self.log = {w: float(np.log10(n + 0.1)) for w, n in count.items()}
+        self.log = {END: -1.0} | {w: float(np.log10(n + 0.1)) for w, n in count.items()}
         self.count = count
 
 

@@ -14,7 +14,7 @@ fingerprints surround a midpoint.
 ``near_duplicates`` finds similar texts: ``WORDS`` x 64 bits of SimHash are cut into
 23-bit segments, each decoded to its codeword; two segments' indices make a key, and
 candidates are verified on all bits: the share of differing bits gives the angle of
-the shingle sets, and from that their Jaccard similarity (standard error 0.03).
+the shingle sets, and from that their Jaccard similarity (standard error 0.026). Of pairs at 0.9, 98 in 100 meet in some key; at 0.82, 85.
 
 Nulls and texts without words have fingerprint zero and are linked like any others in
 ``link_fingerprints``; ``near_duplicates`` groups them with equal texts only. Null doc_ids are
@@ -40,7 +40,7 @@ SEED = 42
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
 #: 64-bit words of a wide fingerprint, segments cut from it, and which segments after each make a key with it.
-WORDS, SEGMENTS, STEPS = 12, 32, (1, 3, 7, 12)
+WORDS, SEGMENTS, STEPS = 16, 40, (1, 3, 7, 12)
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
