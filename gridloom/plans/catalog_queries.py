@@ -50,7 +50,8 @@ def cube(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.coo(rows, ["user_id", "t", "day"], "value")
 
 
-I = [F.col("i0"), F.col("i1")]  # noqa: E741
+def idx() -> list:
+    return [F.col("i0"), F.col("i1")]
 
 
 # --- addressing
@@ -58,33 +59,33 @@ I = [F.col("i0"), F.col("i1")]  # noqa: E741
 
 @query(CELLS + "SELECT i0, i1, i0 * 64 + i1 AS pos FROM cells")
 def row_major_offset(spark, sf):
-    return cells(spark, sf).select("i0", "i1", address.row_major(I, [height(spark, sf), WIDTH]).alias("pos"))
+    return cells(spark, sf).select("i0", "i1", address.row_major(idx(), [height(spark, sf), WIDTH]).alias("pos"))
 
 
 @query(CELLS + "SELECT i0, i1, i0 + i1 * (SELECT max(vec_id) + 1 FROM embeddings) AS pos FROM cells")
 def col_major_offset(spark, sf):
-    return cells(spark, sf).select("i0", "i1", address.col_major(I, [height(spark, sf), WIDTH]).alias("pos"))
+    return cells(spark, sf).select("i0", "i1", address.col_major(idx(), [height(spark, sf), WIDTH]).alias("pos"))
 
 
 @query(CELLS + "SELECT i0, i1, -64 * i0 + i1 AS reversed, 0 * i0 + i1 AS broadcast FROM cells")
 def strided_reverse_broadcast(spark, sf):
-    return cells(spark, sf).select("i0", "i1", address.strided(I, [-WIDTH, 1]).alias("reversed"), address.strided(I, [0, 1]).alias("broadcast"))
+    return cells(spark, sf).select("i0", "i1", address.strided(idx(), [-WIDTH, 1]).alias("reversed"), address.strided(idx(), [0, 1]).alias("broadcast"))
 
 
 @query(CELLS + "SELECT i0, i1, ((i0 // 32) * 4 + i1 // 16) * 512 + (i0 % 32) * 16 + i1 % 16 AS pos FROM cells")
 def tiled_offset(spark, sf):
-    return cells(spark, sf).select("i0", "i1", address.tiled(I, [height(spark, sf), WIDTH], TILE).alias("pos"))
+    return cells(spark, sf).select("i0", "i1", address.tiled(idx(), [height(spark, sf), WIDTH], TILE).alias("pos"))
 
 
 @query(CELLS + "SELECT i0, i1, ((i0 // 32) * 4 + i1 // 16) * 512 + (((i0 % 32) // 8) * 4 + (i1 % 16) // 4) * 32 + (i0 % 32 % 8) + (i1 % 16 % 4) * 8 AS pos FROM cells")
 def tiled_recursive_offset(spark, sf):
-    return cells(spark, sf).select("i0", "i1", address.tiled(I, [height(spark, sf), WIDTH], TILE, "row", ([8, 4], "col")).alias("pos"))
+    return cells(spark, sf).select("i0", "i1", address.tiled(idx(), [height(spark, sf), WIDTH], TILE, "row", ([8, 4], "col")).alias("pos"))
 
 
 @query(CELLS + "SELECT i0, i1, pos, ((pos // 512) // 4) * 32 + (pos % 512) // 16 AS j0, ((pos // 512) % 4) * 16 + pos % 16 AS j1 FROM (SELECT *, ((i0 // 32) * 4 + i1 // 16) * 512 + (i0 % 32) * 16 + i1 % 16 AS pos FROM cells)")
 def tiled_inverse(spark, sf):
     shape = [height(spark, sf), WIDTH]
-    df = cells(spark, sf).select("i0", "i1", address.tiled(I, shape, TILE).alias("pos"))
+    df = cells(spark, sf).select("i0", "i1", address.tiled(idx(), shape, TILE).alias("pos"))
     j0, j1 = address.tiled_inverse(F.col("pos"), shape, TILE)
     return df.select("*", j0.alias("j0"), j1.alias("j1"))
 
@@ -400,9 +401,9 @@ def paged_prefix_sharing(spark, sf):
 @query(CELLS + "SELECT (i0 // 32) * 4 + i1 // 16 AS tile, ((i0 // 32) * 4 + i1 // 16) * 512 + (i0 % 32) * 16 + i1 % 16 AS pos, v FROM cells")
 def transcode_row_to_tiled(spark, sf):
     shape = [height(spark, sf), WIDTH]
-    stored = cells(spark, sf).select(address.row_major(I, shape).alias("at"), "v")
+    stored = cells(spark, sf).select(address.row_major(idx(), shape).alias("at"), "v")
     i = address.row_major_inverse(F.col("at"), shape)
-    rows = stored.select(i[0].alias("i0"), i[1].alias("i1"), "v").select(address.tiled(I, shape, TILE).alias("pos"), "v")
+    rows = stored.select(i[0].alias("i0"), i[1].alias("i1"), "v").select(address.tiled(idx(), shape, TILE).alias("pos"), "v")
     return rows.select(F.call_function("div", F.col("pos"), F.lit(512)).alias("tile"), "pos", "v").repartitionByRange("pos").sortWithinPartitions("pos")
 
 
