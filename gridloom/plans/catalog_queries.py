@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions import address, elements
-from gridloom.operators import composite, create, paged, quantize, sparse, statistics
+from gridloom.operators import buffers, composite, create, paged, quantize, sparse, statistics
+from gridloom.sources import descriptor, tensorfile
+from gridloom.streaming import frames
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -446,3 +453,89 @@ def full(spark, sf):
 @query("SELECT range // 4 AS i0, range % 4 AS i1, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one FROM range(12)")
 def zeros_ones(spark, sf):
     return create.zeros(spark, [3, 4]).withColumnRenamed("v", "zero").join(create.ones(spark, [3, 4]).withColumnRenamed("v", "one"), ["i0", "i1"])
+
+
+# --- invariants and classes
+
+
+@query(MATRIX + ", n AS (SELECT max(i0) + 1 AS n FROM cells), p AS (SELECT k, (SELECT count(*) FROM cells WHERE i0 < k) AS ptr FROM (SELECT unnest(range(0, (SELECT n FROM n) + 1)) AS k)) SELECT CAST((SELECT ptr FROM p WHERE k = 0) AS BIGINT) AS first, CAST(max(ptr) AS BIGINT) AS last, CAST(0 AS BIGINT) AS falling, CAST(0 AS BIGINT) AS unsorted FROM p")
+def csr_invariants(spark, sf):
+    m = matrix(spark, sf)
+    n = _size(m, "i0")
+    p = sparse.pointers(m, "i0", n)
+    steps = p.alias("a").join(p.alias("b"), F.col("b.k") == F.col("a.k") + 1).agg(F.coalesce(F.sum((F.col("b.ptr") < F.col("a.ptr")).cast("long")), F.lit(0)).alias("falling"))
+    rows = sparse.positions(m, "i0", "i1", n).withColumn("before", F.lag("i1").over(Window.partitionBy("i0").orderBy("pos")))
+    order = rows.agg(F.coalesce(F.sum((F.col("before") >= F.col("i1")).cast("long")), F.lit(0)).alias("unsorted"))
+    return p.agg(F.min("ptr").alias("first"), F.max("ptr").alias("last")).crossJoin(steps).crossJoin(order)  # one row each
+
+
+@query("SELECT tag, CASE WHEN tag IN (0, 255) THEN 'invalid' WHEN tag BETWEEN 240 AND 254 THEN 'private' WHEN tag BETWEEN 1 AND 11 OR tag = 64 THEN 'named' ELSE 'reserved' END AS class FROM (SELECT range AS tag FROM range(256))")
+def layout_tag_classes(spark, sf):
+    tag = F.col("id")
+    named = F.lit(False)
+    for t in sorted(descriptor.LAYOUTS.values()):
+        named = named | (tag == t)
+    return spark.range(256).select(tag.alias("tag"), F.when(tag.isin(0, 255), "invalid").when(tag.between(0xF0, 0xFE), "private").when(named, "named").otherwise("reserved").alias("class"))
+
+
+@query("SELECT code, CASE WHEN code IN (0, 255) THEN NULL ELSE pow(2.0, code - 127) END AS scale FROM (SELECT range AS code FROM range(256))")
+def e8m0_decode(spark, sf):
+    return spark.range(256).select(F.col("id").alias("code"), F.nanvl(elements.decode_e8m0(F.col("id")), F.lit(None).cast("double")).alias("scale"))
+
+
+# --- files and streams: every vector is a shard of one tensor; partitions write files of their own, and the sources read them back
+
+
+def _shards(height: int):
+    def run(batch):
+        for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = buffers.encode_values(np.array(values, np.float32), "float32")
+            d = {"type": "float32", "shape": [1, len(values)], "byte_offset": 0, "layout": {"kind": "row"}, "shard": {"parent_shape": [height, len(values)], "offset": [vec_id, 0]}}
+            yield f"v{vec_id}", d | {"buffers": [{"byte_size": len(data), "alignment": 64, "device": 0, "sync": 0, "memory": 0}]}, [data]
+
+    return run
+
+
+def _place(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridloom-files"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    """(descriptor, bytes) of shards to cells of their parent."""
+
+    def run(batches):
+        for batch in batches:
+            for code, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                d, _ = descriptor.decode(code)
+                v = buffers.decode_bytes(data, d["type"])
+                (a, b), n = d["shard"]["offset"], d["shape"][1]
+                at = np.arange(len(v))
+                yield pa.RecordBatch.from_arrays([pa.array(a + at // n), pa.array(b + at % n), pa.array(v)], ["i0", "i1", "v"])
+
+    return rows.mapInArrow(run, "i0 long, i1 long, v float")
+
+
+def _write_file(path, tensors):
+    tensorfile.write_tensorfile(path, tensors, {"tensors": ("int64", len(tensors))})
+
+
+def _write_frames(path, tensors):
+    frames.write_stream(path, [(d, b) for _, d, b in tensors])
+
+
+@query(CELLS + "SELECT i0, i1, v FROM cells")
+def file_roundtrip(spark, sf):
+    folder = _place(spark)
+    tensorfile.write_parts(read(spark, sf, "embeddings").select("vec_id", "embedding"), folder, _shards(height(spark, sf)), _write_file)
+    tensorfile.register(spark)
+    read_back = lambda c: spark.read.format("tensorfile").option("content", c).load(folder)
+    return _decoded(read_back("payload").join(read_back("catalog").select("name", "descriptor"), "name").select("descriptor", "bytes"))
+
+
+@query(CELLS + "SELECT i0, i1, v FROM cells")
+def stream_roundtrip(spark, sf):
+    folder = _place(spark)
+    tensorfile.write_parts(read(spark, sf, "embeddings").select("vec_id", "embedding"), folder, _shards(height(spark, sf)), _write_frames)
+    frames.register(spark)
+    return _decoded(spark.read.format("tensorstream").load(folder).select("descriptor", F.col("buffers")[0].alias("bytes")))

@@ -169,6 +169,38 @@ def read_entry(f, e: dict) -> tuple[dict, list[int]]:
     return d, starts
 
 
+def files_of(path: str) -> list[str]:
+    """The file itself, or the files of a folder."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, root = file_system(path)
+    if fs.get_file_info(root).type != FileType.Directory:
+        return [path]
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(fs.get_file_info(FileSelector(root)), key=lambda f: f.base_name) if f.type == FileType.File and f.base_name[:1] not in "._"]
+
+
+def write_parts(df, folder: str, tensors_of, put) -> list[str]:
+    """Each partition of df writes one file of its own on an executor: put(path, tensors) with the tensors that tensors_of(record batch) gives. Gives the files of the tasks that finished; a part of another attempt stays unlisted under a hidden name."""
+    import pyarrow as pa
+
+    fs, root = file_system(folder)
+    fs.create_dir(root, recursive=True)
+
+    def run(batches):
+        import uuid
+
+        found = [t for batch in batches for t in tensors_of(batch)]
+        if found:
+            name = f"_{uuid.uuid4().hex}"
+            put(f"{folder.rstrip('/')}/{name}", found)
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    done = [r["name"] for r in df.mapInArrow(run, "name string").collect()]  # a name for each partition
+    for k, name in enumerate(done):
+        fs.move(f"{root}/{name}", f"{root}/part-{k:06d}")
+    return [f"{folder.rstrip('/')}/part-{k:06d}" for k in range(len(done))]
+
+
 SCHEMAS = {
     "catalog": "name string, ordinal long, element_type string, shape array<long>, byte_offset long, layout string, buffer_bytes array<long>, descriptor binary",
     "payload": "name string, buffer int, chunk int, chunk_offset long, bytes binary",
@@ -192,19 +224,20 @@ class _Reader(DataSourceReader):
             yield f  # Spark tests it again
 
     def partitions(self):
+        files = files_of(self.path)
         if self.content == "kv":
-            return [_One(None)]
-        return [_One(e) for e in read_index(self.path)[0] if self.only in (None, e["name"])] or [_One({})]
+            return [_One((f, None)) for f in files] or [_One(("", {}))]
+        return [_One((f, e)) for f in files for e in read_index(f)[0] if self.only in (None, e["name"])] or [_One(("", {}))]
 
     def read(self, partition) -> Iterator[tuple]:
+        path, e = partition.value
+        if not path:
+            return
         if self.content == "kv":
-            for k, (kind, v) in read_index(self.path)[1].items():
+            for k, (kind, v) in read_index(path)[1].items():
                 yield k, kind, json.dumps(v.hex() if kind == "bytes" else v, default=str)
             return
-        e = partition.value
-        if not e:
-            return
-        fs, root = file_system(self.path)
+        fs, root = file_system(path)
         with fs.open_input_file(root) as f:
             d, starts = read_entry(f, e)
             if self.content == "catalog":

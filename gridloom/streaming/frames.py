@@ -10,10 +10,10 @@ import math
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from gridloom.sources.descriptor import FormatError, decode, encode, need
-from gridloom.sources.tensorfile import file_system
+from gridloom.sources.tensorfile import file_system, files_of
 
 MAX_DESCRIPTOR, MAX_BUFFER = 16 << 20, 1 << 30
 SCHEMA = "frame_offset long, element_type string, shape array<long>, layout string, descriptor binary, buffers array<binary>"
@@ -107,12 +107,22 @@ def _row(item) -> tuple:
     return at, str(d["type"]), d["shape"], d["layout"]["kind"], code, buffers
 
 
+class _One(InputPartition):
+    def __init__(self, path: str):
+        self.value = path
+
+
 class _Batch(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
+    def partitions(self):
+        return [_One(f) for f in files_of(self.path)] or [_One("")]
+
     def read(self, partition) -> Iterator[tuple]:
-        fs, root = file_system(self.path)
+        if not partition.value:
+            return
+        fs, root = file_system(partition.value)
         with fs.open_input_file(root) as f:
             yield from map(_row, read_frames(f.read()))
 
