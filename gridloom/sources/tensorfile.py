@@ -2,7 +2,7 @@
 
 ``write_tensorfile`` writes one file; ``spark.read.format("tensorfile").load(path)`` reads its
 catalog (the default), payload (buffers in chunks) or kv, by option "content". The driver reads only
-header, trailer and index; each partition then reads one tensor. A filter on name reaches the reader.
+header, trailer and index; each partition then reads a run of tensors. A filter on name reaches the reader.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ FILE_MAGIC = b"HRRYFILE"
 HAS_KV, SORTED_INDEX, HAS_CRC = 1, 2, 4
 KV_TAGS = {"string": 1, "int64": 2, "uint64": 3, "float64": 4, "bool": 5, "bytes": 6, "array": 7}
 HEADER, TRAILER, ALIGNMENT, CHUNK = 64, 40, 4096, 4 << 20
+#: Bytes of tensors that one partition reads.
+SPLIT = 64 << 20
 CASTAGNOLI = 0x82F63B78
 
 
@@ -226,11 +228,11 @@ class _Reader(DataSourceReader):
     def partitions(self):
         files = files_of(self.path)
         if self.content == "kv":
-            return [_One((f, None)) for f in files] or [_One(("", {}))]
-        return [_One((f, e)) for f in files for e in read_index(f)[0] if self.only in (None, e["name"])] or [_One(("", {}))]
+            return [_One((f, None)) for f in files] or [_One(("", []))]
+        return [_One((f, run)) for f in files for run in _runs([e for e in read_index(f)[0] if self.only in (None, e["name"])])] or [_One(("", []))]
 
     def read(self, partition) -> Iterator[tuple]:
-        path, e = partition.value
+        path, entries = partition.value
         if not path:
             return
         if self.content == "kv":
@@ -239,13 +241,26 @@ class _Reader(DataSourceReader):
             return
         fs, root = file_system(path)
         with fs.open_input_file(root) as f:
-            d, starts = read_entry(f, e)
-            if self.content == "catalog":
-                yield e["name"], e["ordinal"], str(d["type"]), d["shape"], d["byte_offset"], d["layout"]["kind"], [b["byte_size"] for b in d["buffers"]], f.read_at(e["length"], e["offset"])
-                return
-            for k, (b, start) in enumerate(zip(d["buffers"], starts)):
-                for n, at in enumerate(range(0, b["byte_size"], CHUNK)):
-                    yield e["name"], k, n, at, f.read_at(min(CHUNK, b["byte_size"] - at), start + at)
+            for e in entries:
+                d, starts = read_entry(f, e)
+                if self.content == "catalog":
+                    yield e["name"], e["ordinal"], str(d["type"]), d["shape"], d["byte_offset"], d["layout"]["kind"], [b["byte_size"] for b in d["buffers"]], f.read_at(e["length"], e["offset"])
+                    continue
+                for k, (b, start) in enumerate(zip(d["buffers"], starts)):
+                    for n, at in enumerate(range(0, b["byte_size"], CHUNK)):
+                        yield e["name"], k, n, at, f.read_at(min(CHUNK, b["byte_size"] - at), start + at)
+
+
+def _runs(entries: list[dict]) -> list[list[dict]]:
+    """Entries in runs of about SPLIT bytes, a partition each."""
+    out, held = [], SPLIT
+    for e in sorted(entries, key=lambda e: e["offset"]):
+        if held >= SPLIT:
+            out.append([])
+            held = 0
+        out[-1].append(e)
+        held += e["length"] + e["data_length"]
+    return out
 
 
 class TensorFileSource(DataSource):
