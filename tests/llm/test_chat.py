@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from gridloom.llm import chat
+from gridloom.llm import chat, common
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, chunk int"
 
@@ -34,11 +34,11 @@ def test_round_trip_of_hostile_texts(spark):
     check(spark, rows)
 
 
-def test_a_long_conversation_is_cut_into_chunks(spark):
+def test_a_long_conversation_is_cut_into_chunks(spark, monkeypatch):
     rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|>" * 9, "x", 1) for t in range(400)] + [(2, 0, "user", "b", "x", 1)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    monkeypatch.setattr(common, "BATCH_ROWS", 50)
     formatted = check(spark, rows, chunk_bytes=4000)
-    assert formatted.where("conv_id = 1 and chunk > 0").count() >= 0
+    assert formatted.where("conv_id = 1").count() > 3
 
 
 def test_no_control_strings_inside_texts(spark):
