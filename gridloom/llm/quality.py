@@ -117,13 +117,13 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, modulus: int = 5) -> Model | None:
     """Fits on rows whose crc32(doc_id as text) mod modulus is not 0."""
     known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).where(holdout(F.col("doc_id"), modulus) != 0)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     shares = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not shares:
         return None
     chosen = [known.where(F.col("label") == k).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]).distinct())  # at most 2 * sample rows
-    picked = rows.join(chosen, ["doc_id", "label"]).orderBy(F.xxhash64("text")).limit(2 * sample)
+    picked = rows.join(chosen, "doc_id").orderBy(F.xxhash64("text")).limit(2 * sample)
     found = arrow_map(picked.select("text", "label"), _terms, "label int, at array<int>, count array<float>").toArrow()
     if not found.num_rows:
         return None
