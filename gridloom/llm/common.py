@@ -11,19 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bounds of one Arrow batch handed to a Python worker; long texts make batches of few rows.
-BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 #: Where this package lies; a cluster ships it with --py-files instead.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def session(df: DataFrame) -> SparkSession:
+def session(df: DataFrame, batch_bytes: int | None = None) -> SparkSession:
     env = df.sparkSession.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes or BATCH_BYTES))
     return df.sparkSession
 
 
@@ -43,8 +43,9 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    session(df)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_bytes: int | None = None) -> DataFrame:
+    """mapInArrow with batches of bounded size; batch_bytes holds for what runs next."""
+    session(df, batch_bytes)
     return df.mapInArrow(fn, schema)
 
 

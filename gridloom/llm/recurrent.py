@@ -37,6 +37,8 @@ from gridloom.llm.common import arrow_map, holdout, sources, stored, text_bytes
 HIDDEN, STEPS, STREAMS = 24, 24, 128
 HEAD, CLASS, TAIL = 512, 32, 48
 SHORTLIST = 100_000
+#: Text that advances in step: more makes wider matrix products.
+SCORED_BYTES = 12 << 20
 ROUNDS, SHARE, RATE = 2, 8, 0.15
 #: Different words whose partial counts a worker holds.
 COUNTED = 400_000
@@ -341,7 +343,7 @@ def score_texts(docs: DataFrame, learned) -> DataFrame:
     counts, lexicon, p = learned
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "rid long, doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,times:int>>"
-    near = stored(arrow_map(rows, _score(lexicon, docs.sparkSession.sparkContext.broadcast(p)), schema))
+    near = stored(arrow_map(rows, _score(lexicon, docs.sparkSession.sparkContext.broadcast(p)), schema, SCORED_BYTES))
     far = near.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.times").join(counts, "word", "left")
     far = far.groupBy("rid").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("log"))
     joined = near.drop("tail").join(far, "rid", "left").fillna({"more": 0, "log": 0.0})
