@@ -40,13 +40,19 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    """Bit lengths, at least 1."""
+    """Bit lengths, at least 1, as far as the widths of words tell them apart."""
+    if len(values) > len(_NARROW) and int(values.max()) < len(_NARROW):
+        return _NARROW[values]
     out = np.ones(len(values), np.uint8)
     for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):  # only the widths that words have matter
         out[values >= (1 << b)] = b + 1
     return out
 
 
+_NARROW = np.zeros(0, np.uint8)
+_NARROW = _bits(np.arange(1 << 16))
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first word of each block (with the total at the end), and the words."""
     values = values.astype(np.uint64)
@@ -79,16 +85,17 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.full(blocks, BLOCK)
     lengths[-1] = n - (blocks - 1) * BLOCK
     at, out_words, out_block = np.zeros(blocks, np.int64), [], []
+    flat, chosen, row = padded.ravel(), select.ravel(), BLOCK + 60
+    reach = [(np.arange(c), (np.arange(c) * w).astype(np.uint64)) for c, w in zip(COUNTS, WIDTHS)]
     active = np.arange(blocks)
     while len(active):
         p = at[active]
-        s = select[active, p].astype(np.int64)
-        words = s.astype(np.uint64) << np.uint64(60)
-        for one in np.unique(s):
+        s = chosen[active * BLOCK + p].astype(np.int64)
+        words, first = s.astype(np.uint64) << np.uint64(60), active * row + p
+        for one in np.flatnonzero(np.bincount(s, minlength=len(COUNTS))):
             rows = np.flatnonzero(s == one)
-            c, w = int(COUNTS[one]), int(WIDTHS[one])
-            taken = padded[active[rows][:, None], p[rows][:, None] + np.arange(c)]
-            words[rows] |= np.bitwise_or.reduce(taken << (np.arange(c) * w).astype(np.uint64), axis=1)
+            step, shift = reach[one]
+            words[rows] |= np.bitwise_or.reduce(flat[first[rows][:, None] + step] << shift, axis=1)
         out_words.append(words)
         out_block.append(active)
         at[active] += COUNTS[s]

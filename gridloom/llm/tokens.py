@@ -8,6 +8,7 @@ pieces in order. Texts with unusual white space or special strings are encoded w
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 from unicodedata import is_normalized
@@ -16,7 +17,7 @@ import numpy as np
 
 END_ID = 2
 #: Pieces kept by a Python worker; beyond it the cache starts again.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 #: Strings joined for one call of the library.
 JOINED = 256
 #: Marks that end many words; a vocabulary never merges them with the letters before.
@@ -30,7 +31,8 @@ LOOSE = ["  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c"]
 #: Byte-level vocabularies write bytes as visible characters: those that aren't printable, in order, from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 VISIBLE = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+#: Single ids, packed.
+PACKED = [struct.pack("<I", i) for i in range(1 << 16)]
 
 
 class Encoder:
@@ -40,7 +42,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache, self.words = Tokenizer.from_file(path), kind, {}, {}
+        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), kind, {}
         # between the strings of one call; texts that hold such strings are never cut into pieces
         self.end = "<|endoftext|>"
         self.end_id = self.tokenizer.token_to_id(self.end)
@@ -78,13 +80,13 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         parts = [self._parts(p) for p in pieces]
-        words = self.words
-        new, model, rest = {x for p in parts for x in p}.difference(words), self.tokenizer.model, []
+        words = self.cache  # parts are pieces too
+        new, tokenize, rest = {x for p in parts for x in p}.difference(words), self.tokenizer.model.tokenize, []
         for x in new:  # a run of letters goes straight to the merges
             letters = self._source(x)
             if letters.lstrip(" ").isalpha() and (letters.isascii() or self.kind == "byte" or letters == letters.lower() and is_normalized("NFC", letters)):
-                ids = [t.id for t in model.tokenize(letters.replace(" ", VISIBLE[32]) if letters.isascii() else letters.encode().decode("latin-1").translate(VISIBLE))]
-                words[x] = PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+                found = tokenize(letters.replace(" ", VISIBLE[32]) if letters.isascii() else letters.encode().decode("latin-1").translate(VISIBLE))
+                words[x] = b"".join([PACKED[t.id] for t in found])
             else:
                 rest.append(x)
         new = rest
@@ -100,17 +102,18 @@ class Encoder:
                     words[x] = flat[4 * start : 4 * cut]
                     start = cut + 1
         for piece, p in zip(pieces, parts):
-            self.cache[piece] = words[p[0]] if len(p) == 1 else b"".join([words[x] for x in p])
+            if len(p) > 1 or p[0] != piece:
+                words[piece] = words[p[0]] if len(p) == 1 else b"".join([words[x] for x in p])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        if len(self.words) > CACHE_PIECES:
-            self.words.clear()
         new = {p for pieces in split if pieces for p in pieces}.difference(self.cache)
         if new:
+            gc.disable()  # hundreds of thousands of small objects, none in a cycle
             self._learn(list(new))
+            gc.enable()
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, split) if p is None], add_special_tokens=False))
         return [self._pack(next(whole)) if p is None else b"".join(map(self.cache.__getitem__, p)) for p in split]
 
