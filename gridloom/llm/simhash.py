@@ -11,10 +11,11 @@ fingerprints no pairs are made: its members are linked exactly through midpoints
 two fingerprints within two bits have a common neighbour within one bit of both, and at most 65
 fingerprints surround a midpoint.
 
-``near_duplicates`` finds similar texts: ``WORDS`` x 64 bits of SimHash are cut into
-23-bit segments, each decoded to its codeword; two segments' indices make a key, and
-candidates are verified on all bits: the share of differing bits gives the angle of
-the shingle sets, and from that their Jaccard similarity (standard error 0.026). Of pairs at 0.9, 98 in 100 meet in some key; at 0.82, 85.
+``near_duplicates`` finds the texts that are similar by the Jaccard similarity of their sets of
+shingles, directly or through others. A text's shingles are ordered by one order over all texts,
+those that a sample finds frequent last; sets at the threshold or above share one of their first
+|x| - ceil(threshold * |x|) + 1 (prefix filter), so no pair is missed. Buckets of a shingle give candidates;
+their groups are compared on the whole sets.
 
 Nulls and texts without words have fingerprint zero and are linked like any others in
 ``link_fingerprints``; ``near_duplicates`` groups them with equal texts only. Null doc_ids are
@@ -25,6 +26,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,6 @@ BUCKET = 64
 SEED = 42
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
-#: 64-bit words of a wide fingerprint, segments cut from it, and which segments after each make a key with it.
-WORDS, SEGMENTS, STEPS = 16, 40, (1, 3, 7, 12)
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
@@ -70,17 +70,6 @@ def votes(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def wide(hashes: np.ndarray) -> list[int]:
-    """WORDS fingerprints of the same shingles, each from another mix of their hashes; the first is plain."""
-    out = [votes(hashes)]
-    for j in range(1, WORDS):
-        x = hashes + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        out.append(votes(x ^ x >> np.uint64(31)))
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -202,90 +191,164 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similar texts -----------------------------------------------------------
 
 
-def _wide(k: int):
+#: Differing bits of 64 beyond which two of a small bucket are no candidates (five standard deviations at 0.8), if both have STEADY shingles.
+LOOSE, STEADY = 26, 16
+#: Texts in whose shingles the frequent ones are looked for (one in so many), how often one must stand there, and how many are kept. They set the order only.
+SAMPLED, OFTEN, FREQUENT = 32, 4, 100_000
+#: Text of a group that is compared at once; more goes in blocks, each with each.
+BLOCK_BYTES = 12 << 20
+
+
+def _shingled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, k)) for t in text_bytes(batch.column(1))]
+            edge = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge), pa.array(values))], ["rid", "shingles"])
+
+    return run
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The first of a set's hashes, of which every set at the threshold or above has one among its own first: by rank if frequent (sorted), which is after all others, and by value."""
+    n = len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, rank[at] + 1, 0)))]
+    return hashes[:n]
+
+
+def _prefix_keyed(k: int, threshold: float, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, rank = known.value
         for batch in batches:
-            ids, sig = [], []
+            keys, facts = [np.zeros(0, np.uint64)], []
             for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                hashes = shingle_hashes(text, k)
+                hashes = np.unique(shingle_hashes(text, k))
                 if len(hashes):
-                    ids.append(rid)
-                    sig.append(wide(np.unique(hashes)))
-            bits = np.array(sig, np.uint64).reshape(len(sig), WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), WORDS).cast(pa.list_(pa.int64()))], ["rid", "sig"])
+                    keys.append(prefix(hashes, frequent, rank, threshold))
+                    facts.append((rid, _signed(votes(hashes)), len(hashes)))
+            rows = np.repeat(np.array(facts, np.int64).reshape(-1, 3), [len(x) for x in keys[1:]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, rows.T.copy())], ["key", "rid", "fp", "n"])
 
     return run
 
 
-def pair_keys(sig: np.ndarray) -> np.ndarray:
-    """Keys of wide fingerprints (rows, WORDS): two segments' codeword indices each."""
-    bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1, bitorder="little")[:, : 23 * SEGMENTS]
-    values = bits.reshape(len(sig), SEGMENTS, 23).astype(np.int64) @ (1 << np.arange(23))
-    index = code().index(values)
-    return np.stack([(i * len(STEPS) + s) << 24 | index[:, i] << 12 | index[:, (i + step) % SEGMENTS] for i in range(SEGMENTS) for s, step in enumerate(STEPS)], axis=1)
+def _candidates(threshold: float):
+    """Rows (key, rid, fp, n) in order of the key: links between what may be similar. A bucket of more than BUCKET is linked whole, through its first member."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((0, 4), np.int64)
+        for batch in itertools.chain(batches, [None]):
+            m = tail if batch is None else np.concatenate([tail, np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1)])
+            if not len(m):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], m[1:, 0] != m[:-1, 0]]))
+            size = np.diff(np.append(start, len(m)))
+            if batch is None:
+                tail = m[:0]
+            else:  # the last bucket may go on; of a large one no more is kept than tells that it is
+                tail = m[start[-1] :][: BUCKET + 1].copy()
+                if size[-1] <= BUCKET:
+                    m, start, size = m[: start[-1]], start[:-1], size[:-1]
+            first, large = np.repeat(start, size), np.repeat(size > BUCKET, size)
+            u, v = [m[first[large], 1]], [m[large, 1]]
+            rest = m[~large]
+            for d in range(1, BUCKET):
+                a, b = rest[:-d], rest[d:]
+                at = np.flatnonzero(a[:, 0] == b[:, 0])
+                if not len(at):
+                    break
+                a, b = a[at], b[at]
+                less, more = np.minimum(a[:, 3], b[:, 3]), np.maximum(a[:, 3], b[:, 3])
+                near = (less >= threshold * more - 1e-9) & ((less < STEADY) | (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64)) <= LOOSE))
+                u.append(a[near, 1])
+                v.append(b[near, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-def _pair_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rid = batch.column(0).to_numpy()
-        sig = batch.column(1).flatten().to_numpy().reshape(len(rid), WORDS)
-        for at in range(0, len(rid), 512):
-            keys = pair_keys(sig[at : at + 512])
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rid[at : at + 512], n)), pa.array(np.repeat(sig[at : at + 512, 0], n))], ["key", "rid", "fp"])
+    return run
 
 
-#: Differing bits of 64 beyond which a candidate can't be similar enough (3.5 standard deviations at 0.8).
-LOOSE = 20
-NEIGHBOURS = 2
+def similar_links(rids: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join all of the sets at the threshold or above, directly or through others: from each one reached, all that are not are counted by their shingles in common."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, at = np.repeat(np.arange(n), size), np.concatenate([[0], np.cumsum(size)])
+    left, listed, u, v = np.ones(n, bool), n + 1, [], []
+    remain = n
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        remain -= 1
+        while queue and remain:
+            if remain <= listed // 2 or listed > n:  # list those that remain, by shingle
+                keep = left[owner]
+                order = np.argsort(ids[keep], kind="stable")
+                having, edge = owner[keep][order], np.concatenate([[0], np.cumsum(np.bincount(ids[keep], minlength=len(kinds)))])
+                listed = remain
+            a = queue.pop()
+            mine = ids[at[a] : at[a + 1]]
+            begin, end = edge[mine], edge[mine + 1]
+            some = np.flatnonzero(end > begin)
+            if not len(some):
+                continue
+            common = np.bincount(np.concatenate([having[x:y] for x, y in zip(begin[some].tolist(), end[some].tolist())]), minlength=n)
+            near = np.flatnonzero(left & (common * (1 + threshold) >= threshold * (size[a] + size) - 1e-9))
+            left[near] = False
+            remain -= len(near)
+            queue += near.tolist()
+            u += [int(rids[root])] * len(near)
+            v += rids[near].tolist()
+    return u, v
+
+
+def _compared(shingle: int, threshold: float):
+    """Rows (root, i, j, rid, text) in order: links within each (root, i, j)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rids, sets = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            rows = [(None, 0, None)]
+            if batch is not None:
+                keys = zip(*(c.to_pylist() for c in batch.columns[:3]))
+                rows = zip(keys, batch.column(3).to_pylist(), text_bytes(batch.column(4)))
+            u, v = [], []
+            for k, rid, text in rows:
+                if k != key:
+                    if len(sets) > 1:
+                        more = similar_links(np.array(rids), sets, threshold)
+                        u += more[0]
+                        v += more[1]
+                    key, rids, sets = k, [], []
+                rids.append(rid)
+                sets.append(np.unique(shingle_hashes(text or b"", shingle)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, v = [], []
-        for members in batch.column(0).to_pylist():
-            m = np.array([(x["fp"], x["rid"]) for x in members], np.int64)
-            a, b = np.nonzero(np.triu(np.bitwise_count((m[:, None, 0] ^ m[None, :, 0]).view(np.uint64)) <= LOOSE, 1))
-            u.append(np.minimum(m[a, 1], m[b, 1]))
-            v.append(np.maximum(m[a, 1], m[b, 1]))
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+    return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, rid) in order: each with the NEIGHBOURS before it of the same key."""
-    tail = np.zeros((0, 3), np.int64)
-    for batch in batches:
-        m = np.concatenate([tail, np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)])
-        u, v = [], []
-        for d in range(1, NEIGHBOURS + 1):
-            a, b = m[:-d], m[d:]
-            near = (a[:, 0] == b[:, 0]) & (np.bitwise_count((a[:, 1] ^ b[:, 1]).view(np.uint64)) <= LOOSE)
-            near[: max(0, len(tail) - d)] = False  # compared before
-            u.append(np.minimum(a[near, 2], b[near, 2]))
-            v.append(np.maximum(a[near, 2], b[near, 2]))
-        tail = m[-NEIGHBOURS:]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-
-
-def similar_pairs(prints: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of rids whose wide fingerprints put the Jaccard similarity at threshold or above.
-
-    Buckets of up to BUCKET members are compared in full. Larger ones hold large groups of copies: their members are
-    sorted by the fingerprint, rotated differently for each pair of segments, over as many tasks as it takes, and each is
-    compared with the NEIGHBOURS before it, which links a group without making all of its pairs."""
-    keyed = arrow_map(prints, _pair_keyed, "key long, rid long, fp long")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(keyed.join(sizes, "key"))
-    small = met.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("fp", "rid")).alias("members")).select("members")
-    turned = F.expr("shiftleft(fp, int(key >> 24) * 13 % 64) | shiftrightunsigned(fp, 64 - int(key >> 24) * 13 % 64)")
-    large = met.where(F.col("n") > BUCKET).withColumn("turned", turned)
-    large = large.repartitionByRange(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "turned", "rid").sortWithinPartitions("key", "turned", "rid").select("key", "fp", "rid")
-    pairs = arrow_map(small, _candidates, "u long, v long").union(arrow_map(large, _neighbours, "u long, v long")).distinct()
-    a, b = prints.select(F.col("rid").alias("u"), F.col("sig").alias("su")), prints.select(F.col("rid").alias("v"), F.col("sig").alias("sv"))
-    differ = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    cosine = 2 * threshold / (1 + threshold)
-    return pairs.join(a, "u").join(b, "v").where(differ <= int(64 * WORDS * np.arccos(cosine) / np.pi)).select("u", "v")
+def similar_pairs(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (u, v) that join all rows (rid, text) whose sets of shingles are at threshold or above, directly or through others.
+
+    Buckets of up to BUCKET rows are candidates pair by pair, larger ones as a whole. Each group that candidates join
+    is compared in full, its sets together; groups of more than BLOCK_BYTES in blocks, each with each."""
+    spark = rows.sparkSession
+    some = arrow_map(rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0), _shingled(shingle), "rid long, shingles array<long>")
+    often = some.select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "x").limit(FREQUENT).toArrow()  # bounded
+    frequent = often.column("x").to_numpy().view(np.uint64)
+    order = np.argsort(frequent)
+    known = spark.sparkContext.broadcast((frequent[order], len(frequent) - order))
+    keyed = arrow_map(rows, _prefix_keyed(shingle, threshold, known), "key long, rid long, fp long, n long")
+    met = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), _candidates(threshold), "u long, v long")
+    groups = stored(components(met).select(F.col("node").alias("rid"), "root"))
+    blocks = rows.select("rid", F.octet_length("text").alias("size")).join(groups, "rid").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)).alias("blocks"))
+    own = rows.join(groups.join(blocks, "root"), "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("own")))
+    each = own.select("root", F.explode(F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))).alias("pair"), "rid", "text")
+    each = each.select("root", "pair.i", "pair.j", "rid", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
+    return arrow_map(each, _compared(shingle, threshold), "u long, v long")
 
 
 def near_duplicates(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -293,7 +356,7 @@ def near_duplicates(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     same = stored(rows.select("rid", F.xxhash64("text").alias("h1"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("h2")))
     first = same.groupBy("h1", "h2").agg(F.min("rid").alias("root"))
     copies = same.join(first, ["h1", "h2"]).where("rid <> root").select("rid", "root")
-    prints = stored(arrow_map(rows.join(first.select(F.col("root").alias("rid")), "rid", "left_semi").select("rid", "text"), _wide(shingle), "rid long, sig array<long>"))
-    near = components(similar_pairs(prints, threshold)).where("node <> root").select(F.col("node").alias("rid"), "root")
+    different = rows.join(copies.select("rid"), "rid", "left_anti").select("rid", "text")
+    near = components(similar_pairs(different, shingle, threshold)).where("node <> root").select(F.col("node").alias("rid"), "root")
     joined = copies.join(near.select(F.col("rid").alias("root"), F.col("root").alias("top")), "root", "left").select("rid", F.coalesce("top", "root").alias("root"))
     return joined.union(near)

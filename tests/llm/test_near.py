@@ -116,3 +116,29 @@ def test_similar_texts_are_found_and_others_left(spark):
     assert sum(found) >= 0.85 * len(found)
     assert got[1002] == 0 and got[1001] == 1000
     assert all(r // 2 == root // 2 for r, root in got.items() if r < 1000)
+
+
+def edited(rng, words, at):
+    out = list(words)
+    for i in at:
+        out[i] = f"e{rng.getrandbits(60):x}"
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_star_of_variants_is_one_group(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"b{rng.getrandbits(60):x}" for _ in range(300)]
+    texts = [edited(rng, base, rng.sample(range(10, 290), 6)) for _ in range(400)]
+    texts = [t for t in texts if jaccard(base, t) >= 0.8][:300]
+    assert len(texts) == 300 and sum(jaccard(a, b) < 0.8 for a, b in zip(texts, texts[1:])) > 250
+    order = texts[:150] + [base] + texts[150:]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(order)], "rid long, text string")
+    for block in (simhash.BLOCK_BYTES, 200_000):  # whole, and in blocks
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+        got = {r["rid"]: r["root"] for r in simhash.near_duplicates(rows).collect()}
+        assert got == {k: 0 for k in range(1, 301)}
