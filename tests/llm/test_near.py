@@ -142,3 +142,17 @@ def test_star_of_variants_is_one_group(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
         got = {r["rid"]: r["root"] for r in simhash.near_duplicates(rows).collect()}
         assert got == {k: 0 for k in range(1, 301)}
+
+
+def test_pairs_are_judged_by_their_shingles(spark):
+    rng, rows, want = random.Random(17), [], {}
+    while len(rows) < 240:
+        words = [f"{rng.getrandbits(60):x}" for _ in range(300)]
+        other = edited(rng, words, rng.sample(range(300), rng.choice([6, 7, 8])))
+        if 0.76 <= jaccard(words, other) <= 0.84:
+            if jaccard(words, other) >= 0.8:
+                want[len(rows) + 1] = len(rows)
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    assert 20 < len(want) < 100
+    got = {r["rid"]: r["root"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "rid long, text string")).collect()}
+    assert got == want
