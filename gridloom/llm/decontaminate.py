@@ -18,6 +18,7 @@ documents each have a row. Empty tables give no rows, or clean ones. Other colum
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,25 +152,27 @@ def benchmark_blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(rid, n_words, n_hit, items, spans) for each row; rid is the column ``key``, which must tell rows apart if the benchmark has more than one block. spans: runs of hit words."""
+    """(rid, n_words, n_hit, items, spans) for each row; rid is the column ``key``, which may repeat or be null. spans: runs of hit words."""
     rows = docs.select(F.col(key).alias("rid"), F.col("text").cast("string").alias("text"))
+    blocks = benchmark_blocks(benchmark, block_windows)
+    items, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        return arrow_map(rows, _scan(items, True), SCHEMA.format(rows.schema["rid"].dataType.simpleString()))
+    # results of blocks are merged by row, so rows get a number, which is the same for all blocks as it is stored
+    rows = stored(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "rid").alias("rid"), "text"))
     schema = SCHEMA.format(rows.schema["rid"].dataType.simpleString())
-    parts = [arrow_map(rows, _scan(items, True), schema) for items in benchmark_blocks(benchmark, block_windows)] or [arrow_map(rows, _scan([], True), schema)]
-    if len(parts) == 1:
-        return parts[0]
     # each block's scan goes to the shared folder; only rows that it hit need merging
-    tables = [stored(p if i == 0 else p.where("n_hit > 0")) for i, p in enumerate(parts)]
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.union(t)
+    every = stored(arrow_map(rows, _scan(items, True), schema))
+    for items in itertools.chain([more], blocks):
+        every = every.union(stored(arrow_map(rows, _scan(items, True), schema).where("n_hit > 0")))
     grouped = every.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     merged = F.aggregate("spans", empty, lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= s["start"]), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(s))))
     grouped = grouped.withColumn("spans", merged)
-    return grouped.select("rid", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_hit"), "items", "spans")
+    return grouped.select("rid.rid", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_hit"), "items", "spans")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(sources(spark, sf_dir, "documents"), sources(spark, sf_dir, "benchmark"))
+    found = find_contamination(sources(spark, sf_dir, "documents"), sources(spark, sf_dir, "benchmark"), block_windows=BLOCK_WINDOWS)
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(F.col("rid").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -56,6 +56,17 @@ def test_contamination(spark, block):
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got)
 
 
+@pytest.mark.parametrize("block", [6, 1 << 18])
+def test_blocks_keep_repeated_and_null_ids(spark, tmp_path, monkeypatch, block):
+    rows = TEXTS + [(1, "a short item"), (1, "a short item"), (None, "clean"), (None, "short item " * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    got = decontaminate.op4_decontamination(spark, str(tmp_path)).collect()
+    want = contamination(rows, ITEMS)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got), key=key) == sorted(((d, n, h, len(x)) for d, n, h, x in want), key=key)
+
+
 def test_contamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame(TEXTS, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, items).where("n_hit > 0").count() == 0
