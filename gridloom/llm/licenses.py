@@ -1,8 +1,9 @@
 """License scan by an exact set-similarity join, in DataFrame functions only.
 
 A template is a set of words; a text block contains it if at least THRESHOLD of them are
-in it. Blocks are lines; a line of over BLOCK words is cut into blocks of that
-many, one each half block, so that templates of up to BLOCK / 2 words lie whole in one.
+in it. Blocks are cut from the document's whole sequence of words, as a template may be wrapped over
+lines, and from each line: BLOCK words, one each half block. BLOCK grows to twice the words of the longest
+template, so that each lies whole in one.
 
 Words of templates are ordered by their frequency over all documents, rarest first. A block that
 contains a template has one of its first |T| - ceil(THRESHOLD * |T|) + 1 words (prefix
@@ -78,14 +79,14 @@ def template_index(spark: SparkSession, docs: DataFrame, templates: list[tuple[s
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id, hash, label, containment) of each template that some block of a document contains; id and hash: of doc_id and text, see ``keyed``."""
     spark, templates = docs.sparkSession, TEMPLATES if templates is None else templates
-    rows = keyed(docs)
+    rows, block = keyed(docs), max([block, *(2 * len(t.split()) for _, t in templates)])
     index = template_index(spark, rows.select(spaced(F.col("text")).alias("line")), templates, threshold)
     prefixes = sorted({w for _, _, words, need in index for w in words[: len(words) - need + 1]})
     if not prefixes:
         return rows.select("id", "hash", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     wanted = F.array(*map(F.lit, prefixes))
     some = rows.where(F.arrays_overlap(F.split(spaced(F.col("text")), " "), wanted))
-    lines = some.select("id", "hash", F.explode(F.split("text", "\n")).alias("text")).select("id", "hash", split_words(spaced(F.col("text"))).alias("w"))
+    lines = some.select("id", "hash", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))).alias("text")).select("id", "hash", split_words(spaced(F.col("text"))).alias("w"))
     lines = lines.where(F.arrays_overlap("w", wanted))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - block // 2, F.lit(1)), F.lit(block // 2))
     blocks = lines.select("id", "hash", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(block)))).alias("w")).select("id", "hash", F.array_distinct("w").alias("w"))

@@ -182,3 +182,12 @@ def test_licenses(spark, tmp_path):
         assert got[d][6] == pytest.approx(want[d][6])
     assert licenses.scan(spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string"), []).collect() == []
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wrapped_and_long_templates(spark):
+    bsd, long = licenses.TEMPLATES[5][1].split(), [f"t{k}" for k in range(70)]
+    at = bsd.index("modification")
+    texts = [" ".join(bsd[:at]) + "\n" + " ".join(bsd[at:]), "\n".join(["filler"] * 50 + bsd + ["tail"] * 50), " ".join(["filler"] * 65 + long + ["tail"] * 65)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["id"], r["label"]): r["containment"] for r in licenses.scan(docs, [("bsd", " ".join(bsd)), ("long", " ".join(long))]).collect()}
+    assert got == {(0, "bsd"): 1.0, (1, "bsd"): 1.0, (2, "long"): 1.0}
