@@ -10,8 +10,8 @@ counts over the whole corpus, with one place for unseen words. So the scores of
 Training: truncated backpropagation over STEPS words, with the state carried on from window to
 window and set back between documents. Each partition trains on its training documents of the round
 from the same start, and the results are averaged, weighted by words, in two levels on the
-executors. Each round takes another 1 / share of the training documents, by hash of the id, so what
-trains the gates grows with the corpus; counts, classes and shares are of all training documents.
+executors. Each round takes another 1 / rounds of the training documents, by hash of id and text, so
+that all of them train the network, each once; words that don't fill a batch's columns go into the next batch.
 
 Scoring: documents of a batch advance in step, longest first, in windows of STEPS
 words with the state carried across, so whole texts are scored in bounded memory. Only the
@@ -39,7 +39,7 @@ HEAD, CLASS, TAIL = 512, 32, 48
 SHORTLIST = 100_000
 #: Text that advances in step: more makes wider matrix products.
 SCORED_BYTES = 12 << 20
-ROUNDS, SHARE, RATE = 2, 8, 0.15
+ROUNDS, RATE = 2, 0.15
 #: Different words whose partial counts a worker holds.
 COUNTED = 400_000
 #: Stands for the end of a text; no word contains white space.
@@ -210,16 +210,19 @@ class Lexicon:
         self.count = count
 
 
-def _stream(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents laid one after another into STREAMS columns."""
-    flat = np.concatenate(docs)
-    first = np.zeros(len(flat), bool)
-    first[np.cumsum([0, *map(len, docs[:-1])])] = True
+def _stream(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words laid one after another into STREAMS columns, with the starts of documents, and what is left over."""
     rows = len(flat) // STREAMS
-    if not rows:
-        return flat[:, None], first[:, None]
-    first[: rows * STREAMS : rows] = True
-    return flat[: rows * STREAMS].reshape(STREAMS, rows).T, first[: rows * STREAMS].reshape(STREAMS, rows).T
+    n, starts = rows * STREAMS, first.copy()
+    starts[: n : max(rows, 1)] = True
+    return flat[:n].reshape(STREAMS, rows).T, starts[:n].reshape(STREAMS, rows).T, flat[n:], first[n:]
+
+
+def _learn_stream(p: dict, square: dict, ids: np.ndarray, first: np.ndarray, rate: float) -> int:
+    h = np.zeros((ids.shape[1], HIDDEN), np.float32)
+    for at in range(0, len(ids), STEPS):
+        h, _ = train_window(p, square, ids[at : at + STEPS], first[at : at + STEPS], h, rate)
+    return ids.size
 
 
 def _train(lexicon, params, rate: float):
@@ -227,15 +230,16 @@ def _train(lexicon, params, rate: float):
         lex, p = lexicon.value, {k: v.copy() for k, v in params.value.items()}
         square, seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}, 0
         get = lex.id.get
+        rest, begins = np.zeros(0, np.int64), np.zeros(0, bool)
         for batch in batches:
             docs = [np.array([i if (i := get(w)) is not None else HEAD + tail_class(w) for w in words_of(t)], np.int64) for t in text_bytes(batch.column(0))]
             if not docs:
                 continue
-            ids, first = _stream(docs)
-            h = np.zeros((ids.shape[1], HIDDEN), np.float32)
-            for at in range(0, len(ids), STEPS):
-                h, _ = train_window(p, square, ids[at : at + STEPS], first[at : at + STEPS], h, rate)
-            seen += ids.size
+            start_of = np.zeros(sum(map(len, docs)), bool)
+            start_of[np.cumsum([0, *map(len, docs[:-1])])] = True
+            ids, first, rest, begins = _stream(np.concatenate([rest, *docs]), np.concatenate([begins, start_of]))
+            seen += _learn_stream(p, square, ids, first, rate)
+        seen += _learn_stream(p, square, rest[:, None], begins[:, None], rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(p)], pa.binary()), pa.array([float(seen)])], ["params", "seen"])
 
@@ -254,7 +258,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(mean)], pa.binary()), pa.array([seen])], ["params", "seen"])
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE, shortlist: int = SHORTLIST, rate: float = RATE):
+def learn(docs: DataFrame, rounds: int = ROUNDS, shortlist: int = SHORTLIST, rate: float = RATE):
     """From rows (doc_id, text): the counts table, the lexicon and the parameters."""
     spark = docs.sparkSession
     counts = stored(arrow_map(docs.select("text"), _counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -269,7 +273,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS, share: int = SHARE, shortlist:
     lex = Lexicon(words, n, total, other, int(tokens), int(kinds))
     lexicon, p = spark.sparkContext.broadcast(lex), start(lex.head_counts, total)
     for r in range(rounds):
-        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == r).select("text")
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
         each = arrow_map(some, _train(lexicon, spark.sparkContext.broadcast(p), rate / (r + 1)), "params binary, seen double")
         groups = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
         got = arrow_map(arrow_map(each.repartition(groups), _average, "params binary, seen double").coalesce(1), _average, "params binary, seen double").collect()

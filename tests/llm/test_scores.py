@@ -82,6 +82,21 @@ def test_lm_without_training_documents(spark):
     assert recurrent.score_texts(none, learned).collect() == []
 
 
+def test_all_training_words_reach_the_network(spark, monkeypatch):
+    seen, mapped = [], recurrent.arrow_map
+
+    def counted(df, fn, *args):
+        out = mapped(df, fn, *args)
+        if fn.__qualname__.startswith("_train"):
+            seen.append(out.agg({"seen": "sum"}).first()[0])
+        return out
+
+    monkeypatch.setattr(recurrent, "arrow_map", counted)
+    docs = spark.createDataFrame([(k % 5 if k % 3 else None, f"w{k} x y " * (k % 11)) for k in range(90)], "doc_id long, text string")
+    _, lexicon, _ = recurrent.learn(docs)
+    assert len(seen) == recurrent.ROUNDS and sum(seen) == lexicon.value.tokens > 0
+
+
 # --- quality
 
 
