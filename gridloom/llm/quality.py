@@ -9,7 +9,8 @@ matrix product, and its NEIGHBOURS nearest vote for their label, weighted by sim
 how often the label occurs among all labelled training rows.
 
 Only the fit is bounded: it uses the labelled training rows with the smallest hashes of
-doc_id. labels, lang, source and doc_id are no inputs of a score.
+doc_id, and of rows that share a doc_id one text. Terms are counted where the texts are read; their counts meet in one
+task, which fits the model and sends it to the driver. labels, lang, source and doc_id are no inputs of a score.
 
 Nulls and empty texts have terms of their own (length 0) and are scored like others. Rows of
 null label are not used; of a document with several labels, all are. Repeated rows are scored
@@ -19,6 +20,7 @@ kept; one that has the name of the result column is replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +93,7 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def fit(counts: np.ndarray, labels: np.ndarray, shares: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Model:
     """shares: of label 0 and 1 among all labelled rows."""
-    df = (counts > 0).sum(0)
+    df = np.count_nonzero(counts, axis=0)
     idf = (np.log((1 + len(counts)) / (1 + df)) + 0.1).astype(np.float32)
     x = weigh(counts, idf)
     # leading right singular vectors by subspace iteration from a fixed start
@@ -103,7 +105,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, shares: np.ndarray, dimensions:
     have = np.array([(labels == 0).mean(), (labels == 1).mean()])
     weights = (shares / np.maximum(have, 1e-12))[labels]
     model = Model(idf, project, np.zeros((0, dimensions), np.float32), labels.astype(np.float64), weights, neighbours)
-    model.vectors = model.embed(counts)
+    v = x @ project
+    model.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     return model
 
 
@@ -111,7 +114,23 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [term_counts(t) for t in text_bytes(batch.column(0))]
         at = [np.flatnonzero(x) for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([x[a] for x, a in zip(found, at)], pa.list_(pa.float32()))], ["label", "at", "count"])
+        terms = pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([x[a] for x, a in zip(found, at)], pa.list_(pa.float32()))], ["at", "count"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], terms], ["doc_id", "label", "hash", "terms"])
+
+
+def _fit(shares: np.ndarray):
+    """Rows (label, hash, at, count) of one task, no more than 2 * SAMPLE: the model, pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is not None and len(table):
+            table = table.sort_by([("hash", "ascending"), ("label", "ascending")]).combine_chunks()
+            at, count = (table.column(c).combine_chunks() for c in ("at", "count"))
+            counts = np.zeros((len(table), TERMS), np.float32)
+            counts[np.repeat(np.arange(len(table)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = count.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(counts, table.column("label").to_numpy(), shares))], pa.binary())], ["model"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, modulus: int = 5) -> Model | None:
@@ -123,15 +142,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return None
     chosen = [known.where(F.col("label") == k).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]).distinct())  # at most 2 * sample rows
-    picked = rows.join(chosen, "doc_id").orderBy(F.xxhash64("text")).limit(2 * sample)
-    found = arrow_map(picked.select("text", "label"), _terms, "label int, at array<int>, count array<float>").toArrow()
-    if not found.num_rows:
-        return None
-    counts = np.zeros((found.num_rows, TERMS), np.float32)
-    for row, (at, count) in enumerate(zip(found.column("at").to_pylist(), found.column("count").to_pylist())):
-        counts[row, at] = count
+    picked = rows.join(chosen, "doc_id").select("text", "doc_id", "label", F.xxhash64("text").alias("hash"))
+    found = arrow_map(picked, _terms, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, hash long, terms struct<at:array<int>,count:array<float>>")
+    # of rows that share an id, one text: no more than 2 * sample rows in all, which one task fits
+    found = found.groupBy("doc_id", "label").agg(F.min("hash").alias("hash"), F.min_by("terms", "hash").alias("terms"))
     total = sum(shares.values())
-    return fit(counts, np.array(found.column("label").to_pylist()), np.array([shares.get(k, 0) / total for k in (0, 1)]))
+    share = np.array([shares.get(k, 0) / total for k in (0, 1)])
+    got = arrow_map(found.select("label", "hash", "terms.at", "terms.count").repartition(1), _fit(share), "model binary").collect()
+    return pickle.loads(got[0][0]) if got else None
 
 
 #: Documents whose terms are held as a dense block.

@@ -12,21 +12,22 @@ two fingerprints within two bits have a common neighbour within one bit of both,
 fingerprints surround a midpoint.
 
 ``near_duplicates`` finds the texts that are similar by the Jaccard similarity of their sets of
-shingles, directly or through others. A text's shingles are ordered by one order over all texts,
-those that a sample finds frequent last; sets at the threshold or above share one of their first
-|x| - ceil(threshold * |x|) + 1 (prefix filter), so no pair is missed. Buckets of a shingle give candidates;
-their groups are compared on the whole sets.
+shingles, directly or through others. Its fingerprints are wider, SEGMENTS segments of 23 bits. Each segment
+is decoded to the two codewords nearest to it, a bit counting by the margin of its votes, as bits of small margins are
+the ones in error. The errors of a pair at the threshold fall unevenly, so that for some of the TRIPLES of segments
+both share a codeword in all three: a key is a triple with three codeword indices, eight for each triple.
+Buckets of a key give candidates; the groups that they join are compared on the whole sets of shingles.
+Of single pairs (two copies without others between them) RECALL are found; the tests measure it.
 
 Nulls and texts without words have fingerprint zero and are linked like any others in
 ``link_fingerprints``; ``near_duplicates`` groups them with equal texts only. Null doc_ids are
-never a component's id unless it has no other. Repeated rows count once each. An
-empty table gives no rows; other columns are ignored.
+never a component's id unless it has no other. Repeated rows count once each. Very long texts are whole: their
+shingles are counted in slices. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm.common import arrow_map, sources, stored, text_bytes
 from gridloom.llm.components import components
+from gridloom.llm.hashing import gram_hashes, mix, word_hashes
 
 #: Members up to which a bucket's pairs are compared directly.
 BUCKET = 64
@@ -105,12 +107,24 @@ class _Code:
             for bits in itertools.combinations(range(23), n):
                 self.error[np.bitwise_xor.reduce(self.bit[list(bits)])] = sum(1 << b for b in bits)
         self.byte = [_remainder(np.arange(256) << s) if s < 16 else _remainder(np.arange(128) << 16) for s in (0, 8, 16)]
+        words = np.arange(1 << 12) << 11
+        self.signs = (2 * ((words | _remainder(words)) >> np.arange(23)[:, None] & 1) - 1).astype(np.float32)
 
     def index(self, v: np.ndarray) -> np.ndarray:
         """The 12-bit index of the codeword nearest to each 23-bit word."""
         rest = self.byte[0][v & 255] ^ self.byte[1][v >> 8 & 255] ^ self.byte[2][v >> 16]
         return (v ^ self.error[rest]) >> 11
 
+    def nearest(self, margins: np.ndarray) -> np.ndarray:
+        """The indices of the two codewords that agree best with rows of 23 votes, each bit weighed by its margin."""
+        out = np.empty((len(margins), 2), np.uint16)
+        for at in range(0, len(margins), 512):
+            agree = margins[at : at + 512].astype(np.float32) @ self.signs
+            out[at : at + 512, 0] = best = agree.argmax(1)
+            agree[np.arange(len(agree)), best] = -np.inf
+            out[at : at + 512, 1] = agree.argmax(1)
+        return out
+
 
 _CODE: list[_Code] = []
 
@@ -191,57 +205,87 @@ def op5_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similar texts -----------------------------------------------------------
 
 
-#: Differing bits of 64 beyond which two of a small bucket are no candidates (five standard deviations at 0.8), if both have STEADY shingles.
-LOOSE, STEADY = 26, 16
-#: Texts in whose shingles the frequent ones are looked for (one in so many), how often one must stand there, and how many are kept. They set the order only.
-SAMPLED, OFTEN, FREQUENT = 32, 4, 100_000
+#: Words of 64 bits of a wide fingerprint, and its segments.
+WORDS, SEGMENTS = 12, 33
+#: Segments that make keys together; each stands in two triples.
+TRIPLES = [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(11)] + [(i, i + 11, i + 22) for i in range(11)]
+#: Differing bits of 40 beyond which two of a small bucket are no candidates (five standard deviations at 0.8), if both have STEADY shingles.
+LOOSE, STEADY = 18, 16
+#: Numbers of shingles from here on are not told apart by their size.
+MOST = (1 << 23) - 1
 #: Text of a group that is compared at once; more goes in blocks, each with each.
 BLOCK_BYTES = 12 << 20
+#: Shingles whose votes are counted at once.
+SLICE = 1 << 14
 
+_SALTS = mix(np.arange(1, WORDS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACES = np.arange(8 * WORDS) * 256
+_BIT_OF = _BITS.astype(np.float64)
 
-def _shingled(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, k)) for t in text_bytes(batch.column(1))]
-            edge = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge), pa.array(values))], ["rid", "shingles"])
 
-    return run
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The different hashes of each text's k consecutive words, A-Z in lower case; of all its words if there are fewer."""
+    docs = [t.lower().split() for t in texts]
+    h = word_hashes([w for d in docs for w in d])
+    grams, at, out = gram_hashes(h, k), 0, []
+    for d in docs:
+        n = len(d)
+        out.append(np.unique(grams[at : at + n - k + 1]) if n >= k else gram_hashes(h[at : at + n], n) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
+
 
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """Votes for less votes against each bit of the wide fingerprint."""
+    counts = np.zeros(len(_PLACES) * 256)
+    for at in range(0, len(hashes), SLICE):
+        part = mix(hashes[at : at + SLICE, None] ^ _SALTS)
+        counts += np.bincount((part.view(np.uint8).reshape(len(part), -1) + _PLACES).ravel(), minlength=len(counts))
+    return 2 * (counts.reshape(-1, 256) @ _BIT_OF).ravel() - len(hashes)
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
-    """The first of a set's hashes, of which every set at the threshold or above has one among its own first: by rank if frequent (sorted), which is after all others, and by value."""
-    n = len(hashes) - math.ceil(threshold * len(hashes) - 1e-9) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, rank[at] + 1, 0)))]
-    return hashes[:n]
 
+def _described(k: int):
+    """Rows (rid, same, text): number of shingles; 40 bits of fingerprint and that number; codewords of the segments."""
 
-def _prefix_keyed(k: int, threshold: float, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = known.value
         for batch in batches:
-            keys, facts = [np.zeros(0, np.uint64)], []
-            for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                hashes = np.unique(shingle_hashes(text, k))
-                if len(hashes):
-                    keys.append(prefix(hashes, frequent, rank, threshold))
-                    facts.append((rid, _signed(votes(hashes)), len(hashes)))
-            rows = np.repeat(np.array(facts, np.int64).reshape(-1, 3), [len(x) for x in keys[1:]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, rows.T.copy())], ["key", "rid", "fp", "n"])
+            texts = text_bytes(batch.column(2))
+            sets = shingle_sets(texts, k)
+            votes_of = np.array([margins(s) for s in sets]).reshape(len(sets), -1)
+            codes = code().nearest(votes_of[:, : 23 * SEGMENTS].reshape(-1, 23)).reshape(len(sets), -1)
+            size = np.array([len(s) for s in sets], np.int64)
+            bits = np.packbits(votes_of[:, -40:] > 0, axis=1).astype(np.int64) @ (1 << np.arange(0, 40, 8))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(size), pa.array(list(map(len, texts)), pa.int64()), pa.array((bits << 23) + np.minimum(size, (1 << 23) - 1)), pa.array([c.tobytes() for c in codes], pa.binary())],
+                ["rid", "same", "n", "size", "fact", "codes"],
+            )
 
     return run
 
 
+def triple_keys(codes: np.ndarray) -> np.ndarray:
+    """Keys (rows, 8 * TRIPLES) of codeword indices (rows, SEGMENTS, 2)."""
+    c = codes.astype(np.int64)
+    each = [k << 36 | c[:, x, :, None, None] << 24 | c[:, y, None, :, None] << 12 | c[:, z, None, None, :] for k, (x, y, z) in enumerate(TRIPLES)]
+    return np.concatenate([e.reshape(len(c), 8) for e in each], axis=1)
+
+
+def _triple_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rid, fact = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SEGMENTS, 2)
+        for at in range(0, len(rid), 1024):
+            keys = triple_keys(codes[at : at + 1024])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x[at : at + 1024], keys.shape[1])) for x in (rid, fact))], ["key", "rid", "fact"])
+
+
 def _candidates(threshold: float):
-    """Rows (key, rid, fp, n) in order of the key: links between what may be similar. A bucket of more than BUCKET is linked whole, through its first member."""
+    """Rows (key, rid, fact) in order of the key: links between what may be similar. A bucket of more than BUCKET is linked whole, through its first member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((0, 4), np.int64)
+        tail = np.zeros((0, 3), np.int64)
         for batch in itertools.chain(batches, [None]):
-            m = tail if batch is None else np.concatenate([tail, np.stack([c.to_numpy() for c in batch.columns[:4]], axis=1)])
+            m = tail if batch is None else np.concatenate([tail, np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)])
             if not len(m):
                 continue
             start = np.flatnonzero(np.concatenate([[True], m[1:, 0] != m[:-1, 0]]))
@@ -254,18 +298,19 @@ def _candidates(threshold: float):
                     m, start, size = m[: start[-1]], start[:-1], size[:-1]
             first, large = np.repeat(start, size), np.repeat(size > BUCKET, size)
             u, v = [m[first[large], 1]], [m[large, 1]]
-            rest = m[~large]
+            rest = m[~large & np.repeat(size > 1, size)]
             for d in range(1, BUCKET):
                 a, b = rest[:-d], rest[d:]
                 at = np.flatnonzero(a[:, 0] == b[:, 0])
                 if not len(at):
                     break
                 a, b = a[at], b[at]
-                less, more = np.minimum(a[:, 3], b[:, 3]), np.maximum(a[:, 3], b[:, 3])
-                near = (less >= threshold * more - 1e-9) & ((less < STEADY) | (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64)) <= LOOSE))
+                less, more = np.minimum(a[:, 2] & MOST, b[:, 2] & MOST), np.maximum(a[:, 2] & MOST, b[:, 2] & MOST)
+                near = ((less >= threshold * more - 1e-9) | (more == MOST)) & ((less < STEADY) | (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64) >> np.uint64(23)) <= LOOSE))
                 u.append(a[near, 1])
                 v.append(b[near, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
     return run
 
@@ -323,28 +368,23 @@ def _compared(shingle: int, threshold: float):
                         v += more[1]
                     key, rids, sets = k, [], []
                 rids.append(rid)
-                sets.append(np.unique(shingle_hashes(text or b"", shingle)))
+                sets += shingle_sets([text or b""], shingle)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def similar_pairs(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links (u, v) that join all rows (rid, text) whose sets of shingles are at threshold or above, directly or through others.
+def similar_pairs(rows: DataFrame, described: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (u, v) that join rows (rid, text) whose sets of shingles are at threshold or above, directly or through others.
 
     Buckets of up to BUCKET rows are candidates pair by pair, larger ones as a whole. Each group that candidates join
     is compared in full, its sets together; groups of more than BLOCK_BYTES in blocks, each with each."""
-    spark = rows.sparkSession
-    some = arrow_map(rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0), _shingled(shingle), "rid long, shingles array<long>")
-    often = some.select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "x").limit(FREQUENT).toArrow()  # bounded
-    frequent = often.column("x").to_numpy().view(np.uint64)
-    order = np.argsort(frequent)
-    known = spark.sparkContext.broadcast((frequent[order], len(frequent) - order))
-    keyed = arrow_map(rows, _prefix_keyed(shingle, threshold, known), "key long, rid long, fp long, n long")
+    keyed = arrow_map(described.select("rid", "fact", "codes"), _triple_keyed, "key long, rid long, fact long")
     met = arrow_map(keyed.repartition("key").sortWithinPartitions("key"), _candidates(threshold), "u long, v long")
     groups = stored(components(met).select(F.col("node").alias("rid"), "root"))
-    blocks = rows.select("rid", F.octet_length("text").alias("size")).join(groups, "rid").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)).alias("blocks"))
-    own = rows.join(groups.join(blocks, "root"), "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    blocks = stored(described.select("rid", "size").join(groups, "rid").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(BLOCK_BYTES)).alias("blocks")))
+    tagged = stored(groups.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks"))))
+    own = rows.join(tagged, "rid")
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: (F.col("blocks") == 1) | (k != F.col("own")))
     each = own.select("root", F.explode(F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))).alias("pair"), "rid", "text")
     each = each.select("root", "pair.i", "pair.j", "rid", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rid")
@@ -352,11 +392,12 @@ def similar_pairs(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """For rows (rid, text), those that are not the first of their group of similar texts: (rid, root). Equal texts are grouped by 128 bits of hash before shingles are made."""
-    same = stored(rows.select("rid", F.xxhash64("text").alias("h1"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("h2")))
-    first = same.groupBy("h1", "h2").agg(F.min("rid").alias("root"))
-    copies = same.join(first, ["h1", "h2"]).where("rid <> root").select("rid", "root")
-    different = rows.join(copies.select("rid"), "rid", "left_anti").select("rid", "text")
-    near = components(similar_pairs(different, shingle, threshold)).where("node <> root").select(F.col("node").alias("rid"), "root")
-    joined = copies.join(near.select(F.col("rid").alias("root"), F.col("root").alias("top")), "root", "left").select("rid", F.coalesce("top", "root").alias("root"))
-    return joined.union(near)
+    """For rows (rid, text), those that are not the first of their group of similar texts: (rid, root). Equal texts are grouped by 128 bits of hash; the first of each goes on."""
+    same = F.unhex(F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    described = stored(arrow_map(rows.select("rid", same.alias("same"), "text"), _described(shingle), "rid long, same binary, n long, size long, fact long, codes binary"))
+    first = stored(described.groupBy("same").agg(F.min("rid").alias("root"), F.count("*").alias("times")).where("times > 1"))
+    joined = described.join(first.drop("times"), "same", "left")
+    copies = joined.where("rid <> root").select("rid", "root")
+    near = stored(components(similar_pairs(rows, joined.where("n > 0 and (root is null or rid = root)"), shingle, threshold)).where("node <> root").select(F.col("node").alias("rid"), "root"))
+    moved = copies.join(near.select(F.col("rid").alias("root"), F.col("root").alias("top")), "root", "left").select("rid", F.coalesce("top", "root").alias("root"))
+    return moved.union(near)

@@ -155,4 +155,35 @@ def test_pairs_are_judged_by_their_shingles(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
     assert 20 < len(want) < 100
     got = {r["rid"]: r["root"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "rid long, text string")).collect()}
-    assert got == want
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want)
+
+
+def keys_of(texts):
+    sets = simhash.shingle_sets([" ".join(t).encode() for t in texts], 5)
+    votes = np.array([simhash.margins(s)[: 23 * simhash.SEGMENTS] for s in sets])
+    return simhash.triple_keys(simhash.code().nearest(votes.reshape(-1, 23)).reshape(len(sets), simhash.SEGMENTS, 2))
+
+
+def test_recall_of_single_pairs():
+    """In each step of 0.02 of similarity from the threshold on, at least 0.9 of pairs that stand alone share a key; of short texts too."""
+    rng, found = random.Random(19), {}
+    for size in (12, 40, 300):
+        for _ in range(1500):
+            words = [f"{rng.getrandbits(60):x}" for _ in range(size)]
+            other = edited(rng, words, rng.sample(range(size), rng.randint(1, max(1, size // 35))))
+            if size < 40:
+                other = words + [f"{rng.getrandbits(60):x}" for _ in range(rng.randint(1, 2))]
+            if (j := jaccard(words, other)) >= 0.8:
+                a, b = keys_of([words, other])
+                found.setdefault(int((j - 0.8) / 0.02 + 1e-9), []).append(bool(set(a.tolist()) & set(b.tolist())))
+    share = {k: sum(v) / len(v) for k, v in sorted(found.items()) if len(v) > 30}
+    print({f"{0.8 + 0.02 * k:.2f}": (round(v, 3), len(found[k])) for k, v in share.items()})
+    assert 0 in share and min(share.values()) >= 0.9
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    h = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
+    whole = simhash.margins(h)
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert (simhash.margins(h) == whole).all()
+    assert (simhash.margins(h[:1])[:] != 0).all()

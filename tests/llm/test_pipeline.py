@@ -44,4 +44,4 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.collect()} >= {1, 4}
-    assert got.where("doc_id = 1").count() == 1
+    assert got.where("doc_id = 1 and start = 0").count() == 1  # a piece for each start of a document, which packing may cut
