@@ -28,9 +28,11 @@ def session(df: DataFrame, batch_bytes: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; only where that is unset (tests) a local one."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a session of one machine gets a local one; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -65,3 +67,19 @@ def sources(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def holdout(doc_id, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: A key with over one of so many of the rows is hot; there are no more hot keys than that.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, spread: int = 256) -> DataFrame:
+    """rows joined to ``counted``, which has a row for each key and the number of rows that have it in the column ``count``.
+
+    Rows of hot keys are dealt to ``spread`` places, and the few rows of counted that they meet are repeated there. ``counted`` is a stored table."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    hot = [r[0] for r in counted.where(F.col(count) > max(total / HOT, spread)).select(keys[-1]).collect()]  # no more than HOT
+    places = F.when(F.col(keys[-1]).isin(hot), spread).otherwise(1).cast("long")
+    left = rows.withColumn("__place", F.pmod(F.monotonically_increasing_id(), places))
+    right = counted.withColumn("__place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)))
+    return left.join(right, [*keys, "__place"]).drop("__place", count)

@@ -6,15 +6,16 @@ minimiser at the same place form a super-k-mer, and never repeat each other. Equ
 equal minimisers, so only super-k-mers of one bucket, the minimiser's hash, can share one.
 
 1. Super-k-mers are listed as (minimiser, content hash, document, place).
-2. Buckets with one super-k-mer hold no repeat. Where all have the same content (with the
-   minimiser, 128 bits), each of their windows repeats. The rest are mixed.
-3. Of mixed buckets, each different super-k-mer travels once, as one packed string with its
-   number of occurrences, to its bucket, where sorting its windows counts them exactly.
-   A bucket of more than BUCKET strings is dealt to several tasks, which each count
-   a share of the windows, by the windows' own hash.
+2. They are counted by content and by bucket. Buckets with one super-k-mer hold no repeat. Where one content (with the
+   minimiser, 128 bits) occurs again, each of its windows repeats.
+3. What is left are contents that occur once, in buckets of several. With one of each that occurs again, they travel
+   as packed strings to their bucket, where sorting their windows counts them exactly.
+   Buckets of more than BUCKET strings are not gathered: their windows are counted by a digest of 128 bits, in part before they are shuffled.
 4. Repeated windows become spans of words of their documents, which are removed.
 
-Nulls: a null text has no words; documents of less than WINDOW words are kept; a null
+Keys that many rows share are spread over tasks wherever rows are joined by them.
+
+Nulls: a null text has no words; documents of less than WINDOW words are kept; very long ones are whole; a null
 doc_id is a document of its own. Equal rows repeat each other. An empty table gives
 no rows. All columns are kept; one that has the name of the result column is replaced.
 """
@@ -27,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm.common import arrow_map, sources, stored, text_bytes
+from gridloom.llm.common import arrow_map, join_spread, sources, stored, text_bytes
 from gridloom.llm.hashing import gram_hashes, range_hashes, sliding_min, word_hashes
 
 WINDOW, MINIMISER = 35, 4
-#: Packed strings of a bucket that one task takes at most.
+#: Packed strings of a bucket that one task takes at most; beyond it, windows are counted one by one.
 BUCKET = 4096
 
 
@@ -85,63 +86,62 @@ def _list_kmers(window: int, m: int):
 
 
 def _pack(window: int):
+    """Rows (text, id, hash, wanted): the words of each super-k-mer wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, wanted in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            for text, id_, hash_, wanted in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = text.split()
-                out += [(x["bucket"], x["content"], x["times"], x["parts"], b" ".join(words[x["start"] : x["start"] + x["n"] + window - 1])) for x in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "content", "times", "parts", "packed"])
+                out += [(x["bucket"], x["full"], x["times"], id_, hash_, x["start"], b" ".join(words[x["start"] : x["start"] + x["n"] + window - 1])) for x in wanted]
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["bucket", "full", "times", "id", "hash", "start", "packed"])
 
     return run
 
 
+def windows_of(packed: bytes, window: int) -> Iterator[bytes]:
+    size = np.fromiter(map(len, packed.split(b" ")), np.int64)
+    stop = np.cumsum(size + 1) - 1
+    return (packed[a:b] for a, b in zip((stop - size).tolist(), stop[window - 1 :].tolist()))
+
+
 def _count(window: int):
-    """Rows (bucket, part, parts, content, times, packed), sorted; gives the runs of repeated windows of each content."""
+    """Rows (bucket, times, id, hash, start, packed) in order of the bucket: spans (id, hash, first, stop) of repeated windows in what occurs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        now, entries, out, last = None, [], [], None
+        now, entries, out = None, [], []
 
         def close() -> None:
-            entries.sort()
-            repeated: dict[int, list[int]] = {}
+            entries.sort(key=lambda e: e[0])
+            places: dict[tuple, list[int]] = {}
             i = 0
             while i < len(entries):
-                j, times = i, 0
+                j = i + 1
                 while j < len(entries) and entries[j][0] == entries[i][0]:
-                    times += entries[j][3]
                     j += 1
-                if times > 1:
-                    for _, content, place, _ in entries[i:j]:
-                        repeated.setdefault(content, []).append(place)
+                if j - i > 1 or entries[i][1] > 1:
+                    for _, times, id_, hash_, place in entries[i:j]:
+                        if times == 1:
+                            places.setdefault((id_, hash_), []).append(place)
                 i = j
-            for content, places in repeated.items():
-                places.sort()
-                cut = [k for k in range(1, len(places)) if places[k] != places[k - 1] + 1]
-                out.extend((now[0], content, places[a], places[b - 1]) for a, b in zip([0, *cut], [*cut, len(places)]))
+            for (id_, hash_), at in places.items():
+                at.sort()
+                cut = [k for k in range(1, len(at)) if at[k] > at[k - 1] + window]
+                out.extend((id_, hash_, at[a], at[b - 1] + window) for a, b in zip([0, *cut], [*cut, len(at)]))
             entries.clear()
 
         def batch_of() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["bucket", "content", "first", "last"])
+            rows = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["id", "hash", "first", "stop"])
             out.clear()
             return rows
 
         for batch in batches:
-            for bucket, part, parts, content, times, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, part) != now:
+            for bucket, times, id_, hash_, start, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
                     close()
-                    now = (bucket, part)
-                elif content == last:
-                    continue  # an equal row of the same document
-                last = content
-                size = np.fromiter(map(len, packed.split(b" ")), np.int64)
-                stop = np.cumsum(size + 1) - 1
-                for i, (a, b) in enumerate(zip((stop - size).tolist(), stop[window - 1 :].tolist())):
-                    text = packed[a:b]
-                    if parts == 1 or xxh3_64_intdigest(text) % parts == part:
-                        entries.append((text, content, i, times))
+                    now = bucket
+                entries += [(text, times, id_, hash_, start + i) for i, text in enumerate(windows_of(packed, window))]
             if len(out) > 4096:
                 yield batch_of()
         close()
@@ -150,22 +150,45 @@ def _count(window: int):
     return run
 
 
+def _digests(window: int):
+    """Rows (times, id, hash, start, packed): each window's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            windows = [[xxh3_128_digest(w) for w in windows_of(p, window)] for p in batch.column(4).to_pylist()]
+            size = [len(w) for w in windows]
+            times, id_, hash_, start = (np.repeat(batch.column(k).to_numpy(), size) for k in range(4))
+            place = start + np.arange(sum(size)) - np.repeat(np.cumsum([0, *size])[:-1], size)
+            yield pa.RecordBatch.from_arrays([pa.array([x for w in windows for x in w], pa.binary()), pa.array(times), pa.array(id_), pa.array(hash_), pa.array(place.astype(np.int32))], ["window", "times", "id", "hash", "first"])
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """docs (id, hash, text): (id, hash, spans) of those with words to remove."""
     kmers = stored(arrow_map(docs.select("id", "hash", "text"), _list_kmers(window, m), "bucket long, content long, id long, hash long, start int, n int"))
-    buckets = kmers.groupBy("bucket").agg(F.count("*").alias("c"), F.min("content").alias("a"), F.max("content").alias("b")).where("c > 1").select("bucket", (F.col("a") != F.col("b")).alias("mixed"))
-    met = stored(kmers.join(buckets, "bucket"))
-    whole = met.where("not mixed").select("id", "hash", F.col("start").alias("first"), (F.col("start") + F.col("n") + window - 1).alias("stop"))
-    mixed = met.where("mixed")
-    each = mixed.groupBy("bucket", "content").agg(F.count("*").alias("times"), F.min(F.struct("id", "hash", "start", "n")).alias("at"))
-    sizes = each.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"))
-    wanted = each.join(sizes, "bucket").select(F.col("at.id"), F.col("at.hash"), F.struct("bucket", "content", "times", "parts", F.col("at.start").alias("start"), F.col("at.n").alias("n")).alias("x"))
-    wanted = wanted.groupBy("id", "hash").agg(F.collect_list("x").alias("wanted"))
-    packed = arrow_map(docs.join(wanted, ["id", "hash"]).select("text", "wanted"), _pack(window), "bucket long, content long, times long, parts int, packed binary")
-    dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "content")
-    runs = stored(arrow_map(dealt.select("bucket", "part", "parts", "content", "times", "packed"), _count(window), "bucket long, content long, first int, last int"))
-    partly = mixed.join(runs, ["bucket", "content"]).select("id", "hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window).alias("stop"))
-    return whole.union(partly).distinct().groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("spans"))
+    buckets = stored(kmers.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1"))
+    some = stored(join_spread(kmers, buckets, ["bucket"], "rows"))
+    contents = some.groupBy("bucket", "content").agg(F.count("*").alias("times"))
+    kinds = stored(contents.groupBy("bucket").agg(F.count("*").alias("kinds")).withColumn("rows", F.col("kinds")))
+    # each content, times: how often it occurs, kinds: contents of its bucket
+    each = stored(join_spread(contents, kinds, ["bucket"], "rows").withColumn("rows", F.col("times")))
+    met = stored(join_spread(some, each, ["bucket", "content"], "rows"))
+    whole = met.where("times > 1").select("id", "hash", F.col("start").alias("first"), (F.col("start") + F.col("n") + window - 1).alias("stop"))
+    once = met.where("times = 1").select("bucket", "kinds", "times", "id", "hash", "start", "n")
+    again = met.where("times > 1 and kinds > 1").groupBy("bucket", "content").agg(F.first("kinds").alias("kinds"), F.first("times").alias("times"), F.min(F.struct("id", "hash", "start", "n")).alias("at")).select("bucket", "kinds", "times", "at.*")
+    # equal rows (id, hash) of a document occur again, so that each of what occurs once has one place
+    wanted = once.union(again).groupBy("id", "hash").agg(F.collect_list(F.struct("bucket", (F.col("kinds") > BUCKET).alias("full"), "times", "start", "n")).alias("wanted"))
+    first = docs.join(wanted, ["id", "hash"]).groupBy("id", "hash").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    packed = stored(arrow_map(first.select("text", "id", "hash", "wanted"), _pack(window), "bucket long, full boolean, times long, id long, hash long, start int, packed binary"))
+    gathered = packed.where("not full").select("bucket", "times", "id", "hash", "start", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    partly = arrow_map(gathered, _count(window), "id long, hash long, first int, stop int")
+    digests = stored(arrow_map(packed.where("full").select("times", "id", "hash", "start", "packed"), _digests(window), "window binary, times long, id long, hash long, first int"))
+    counted = stored(digests.groupBy("window").agg(F.sum("times").alias("times"), F.count("*").alias("rows")).where("times > 1").drop("times"))
+    dealt = join_spread(digests.where("times = 1").drop("times"), counted, ["window"], "rows").select("id", "hash", "first", (F.col("first") + window).alias("stop"))
+    return whole.union(partly).union(dealt).groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
 
 
 def _remove(with_text: bool):
