@@ -279,38 +279,63 @@ def _triple_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x[at : at + 1024], keys.shape[1])) for x in (rid, fact))], ["key", "rid", "fact"])
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Links (least, node) that join what the links u, v join: one fewer than each component has nodes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    child = label != np.arange(len(nodes))
+    return np.stack([nodes[label[child]], nodes[child]], axis=1)
+
+
+#: Links that a task holds before it joins them.
+HELD = 1 << 20
+
+
 def _candidates(threshold: float):
-    """Rows (key, rid, fact) in order of the key: links between what may be similar. A bucket of more than BUCKET is linked whole, through its first member."""
+    """Rows (key, rid, fact) in order of the key: links that join what may be similar. A bucket of more than BUCKET is linked whole, through its first member."""
+
+    def met(m: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first, large = np.repeat(start, size), np.repeat(size > BUCKET, size)
+        u, v = [m[first[large], 1]], [m[large, 1]]
+        rest = m[~large & np.repeat(size > 1, size)]
+        for d in range(1, BUCKET):
+            a, b = rest[:-d], rest[d:]
+            at = np.flatnonzero(a[:, 0] == b[:, 0])
+            if not len(at):
+                break
+            a, b = a[at], b[at]
+            less, more = np.minimum(a[:, 2] & MOST, b[:, 2] & MOST), np.maximum(a[:, 2] & MOST, b[:, 2] & MOST)
+            near = ((less >= threshold * more - 1e-9) | (more == MOST)) & ((less < STEADY) | (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64) >> np.uint64(23)) <= LOOSE))
+            u.append(a[near, 1])
+            v.append(b[near, 1])
+        return forest(np.concatenate(u), np.concatenate(v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((0, 3), np.int64)
+        tail, held, n = np.zeros((0, 3), np.int64), [np.zeros((0, 2), np.int64)], 0
         for batch in itertools.chain(batches, [None]):
             m = tail if batch is None else np.concatenate([tail, np.stack([c.to_numpy() for c in batch.columns[:3]], axis=1)])
-            if not len(m):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], m[1:, 0] != m[:-1, 0]]))
-            size = np.diff(np.append(start, len(m)))
-            if batch is None:
-                tail = m[:0]
-            else:  # the last bucket may go on; of a large one no more is kept than tells that it is
-                tail = m[start[-1] :][: BUCKET + 1].copy()
-                if size[-1] <= BUCKET:
-                    m, start, size = m[: start[-1]], start[:-1], size[:-1]
-            first, large = np.repeat(start, size), np.repeat(size > BUCKET, size)
-            u, v = [m[first[large], 1]], [m[large, 1]]
-            rest = m[~large & np.repeat(size > 1, size)]
-            for d in range(1, BUCKET):
-                a, b = rest[:-d], rest[d:]
-                at = np.flatnonzero(a[:, 0] == b[:, 0])
-                if not len(at):
-                    break
-                a, b = a[at], b[at]
-                less, more = np.minimum(a[:, 2] & MOST, b[:, 2] & MOST), np.maximum(a[:, 2] & MOST, b[:, 2] & MOST)
-                near = ((less >= threshold * more - 1e-9) | (more == MOST)) & ((less < STEADY) | (np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64) >> np.uint64(23)) <= LOOSE))
-                u.append(a[near, 1])
-                v.append(b[near, 1])
-            pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+            if len(m):
+                start = np.flatnonzero(np.concatenate([[True], m[1:, 0] != m[:-1, 0]]))
+                size = np.diff(np.append(start, len(m)))
+                if batch is not None:  # the last bucket may go on; of a large one no more is kept than tells that it is
+                    tail = m[start[-1] :][: BUCKET + 1].copy()
+                    if size[-1] <= BUCKET:
+                        m, start, size = m[: start[-1]], start[:-1], size[:-1]
+                held.append(met(m, start, size))
+                n += len(held[-1])
+            if n > HELD or batch is None:
+                pairs = np.concatenate(held)
+                pairs, held, n = forest(pairs[:, 0], pairs[:, 1]), held[:1], 0
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
     return run
 

@@ -181,6 +181,20 @@ def test_recall_of_single_pairs():
     assert 0 in share and min(share.values()) >= 0.9
 
 
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(1)
+    u, v = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    part = {}
+    for a, b in zip(u.tolist(), v.tolist()):
+        x, y = part.setdefault(a, {a}), part.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            part |= dict.fromkeys(y, x)
+    got = simhash.forest(u, v)
+    assert len(got) == len({id(x) for x in part.values()}) * -1 + len(part)
+    assert all(min(part[b]) == a for a, b in got.tolist())
+
+
 def test_long_texts_are_counted_in_slices(monkeypatch):
     h = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
     whole = simhash.margins(h)
