@@ -1,36 +1,34 @@
 """Benchmark decontamination by winnowing.
 
 Of the hashes of each GRAM consecutive words, the smallest in every window of
-WINDOW - GRAM + 1 is kept, on both sides; so any WINDOW shared words share a kept
-hash. Document hashes are joined with the benchmark's, and hits are extended: every
-WINDOW-word span around a hit is looked up among the benchmark's windows and compared
-word by word. Items of fewer words are windows of their own length, looked up at each place.
+WINDOW - GRAM + 1 is kept, on both sides, as the fingerprint of WINDOW words; so any WINDOW shared words share
+a fingerprint. Fingerprints of documents are joined with the benchmark's, and hits are extended: the WINDOW words
+that a fingerprint stands for are joined too, by a digest of 128 bits. Items of fewer words are windows of their own
+length, with a hash of all of them as fingerprint.
 
-The benchmark, not the documents, is what travels: it goes in blocks of at most
-BLOCK_WINDOWS windows, each with every document, so that what an executor holds is bounded
-however large the benchmark is; results of blocks are merged by document.
+Before they are shuffled, fingerprints of documents are looked up in a bitmap of the benchmark's, of 2 ** BITS
+bits however large the benchmark is: it lets all through that occur there, and in proportion to the benchmark's size some others,
+which the join drops. Windows that stand in very many documents are spread over tasks.
 
 Nulls: a text that is null has no words; an item of no words occurs nowhere; an item of
 null item_id makes words hit, but isn't listed. Items repeated under one id count once; repeated
-documents each have a row. Empty tables give no rows, or clean ones. Other columns are ignored.
+documents each have a row. Very long texts are whole, on both sides. Empty tables give no rows, or clean ones. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm.common import arrow_map, sources, stored, text_bytes
-from gridloom.llm.hashing import STEP, gram_hashes, mix, sliding_min, word_hashes
+from gridloom.llm.common import arrow_map, join_spread, sources, stored, text_bytes
+from gridloom.llm.hashing import gram_hashes, sliding_min, word_hashes
 
 WINDOW, GRAM = 10, 5
-#: Windows of the benchmark that go to the executors at once.
-BLOCK_WINDOWS = 1 << 18
+#: Size of the bitmap: 2 MB.
+BITS = 24
 #: Everything in ASCII but digits and lower-case letters separates words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -39,140 +37,113 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class Block:
-    """Windows of some items: texts by hash, the items of each, and the kept hashes."""
-
-    def __init__(self, items: list[tuple[int | None, list[bytes]]]):
-        self.of: dict[bytes, set] = {}
-        self.short: dict[int, set[int]] = {}
-        kept, hashes = [], {}
-        for item, words in items:
-            k = min(WINDOW, len(words))
-            if not k:
-                continue
-            h = word_hashes(words)
-            full = gram_hashes(h, k).tolist()
-            for i, x in enumerate(full):
-                text = b" ".join(words[i : i + k])
-                self.of.setdefault(text, set()).add(item)
-                hashes[x] = None
-            if k < WINDOW:
-                self.short.setdefault(k, set()).update(full)
-            else:
-                kept.append(np.unique(sliding_min(gram_hashes(h, GRAM), WINDOW - GRAM + 1)))
-        self.kept = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        self.windows = np.array(sorted(hashes), np.uint64)
-        self.shorts = {k: np.array(sorted(v), np.uint64) for k, v in self.short.items()}
-
-    def starts(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, starts in the documents' words h) of what may be windows: all that are, and few others."""
-        grams = gram_hashes(h, GRAM)
-        w = WINDOW - GRAM + 1
-        if len(self.kept) and len(grams) >= w:
-            least = sliding_min(grams, w)
-            known = _among(least, self.kept)
-            at = np.flatnonzero(known)  # windows whose kept hash is in the benchmark: the hits, extended both ways
-            if len(at):
-                spans = np.zeros(len(at), np.uint64)
-                for j in range(WINDOW):
-                    spans = spans * np.uint64(STEP) + h[at + j]
-                yield WINDOW, at[_among(mix(spans), self.windows)]
-        for k, values in self.shorts.items():
-            yield k, np.flatnonzero(_among(gram_hashes(h, k), values))
-
-
-def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which x are in the sorted values: by a table of their top 16 bits first, which few pass."""
-    if not len(values):
-        return np.zeros(len(x), bool)
-    table = np.zeros(1 << 16, bool)
-    table[values >> np.uint64(48)] = True
-    out = table[x >> np.uint64(48)]
-    at = np.flatnonzero(out)
-    out[at] = values[np.minimum(np.searchsorted(values, x[at]), len(values) - 1)] == x[at]
-    return out
-
-
-def _scan(items: list[tuple[int | None, list[bytes]]], keep_spans: bool):
+def windows_of(words: np.ndarray, k: int) -> np.ndarray:
+    """The fingerprint of each k consecutive words, given by their hashes."""
+    grams = gram_hashes(words, min(k, GRAM if k == WINDOW else k))
+    if k < WINDOW:
+        return grams
+    w = WINDOW - GRAM + 1
+    return sliding_min(grams, w) if len(grams) >= w else grams[:0]
+
+
+def _digest(words: list[bytes]) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(words))
+
+
+def _benchmark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            words = words_of(text)
+            if words:
+                k = min(WINDOW, len(words))
+                prints = windows_of(word_hashes(words), k)
+                n = len(prints)
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array([_digest(words[i : i + k]) for i in range(n)], pa.binary()), pa.array([k] * n, pa.int32()), pa.array([item] * n, pa.int64())], ["print", "window", "k", "item"])
+
+
+def positions(prints, bits: int):
+    """Two places in a bitmap for each fingerprint: columns, or numpy arrays of unsigned ones."""
+    if isinstance(prints, np.ndarray):
+        return (prints >> np.uint64(64 - bits)).astype(np.int64), (prints >> np.uint64(64 - 2 * bits) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return F.shiftrightunsigned(prints, 64 - bits), F.shiftrightunsigned(prints, 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """Of the fingerprints in the column ``print``: the driver gets no more than its 2 ** (bits - 6) words of 64 bits."""
+    places = windows.select(F.explode(F.array(*positions(F.col("print"), bits))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out.view(np.uint64)
+
+
+def known(prints: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which fingerprints may be in the bitmap."""
+    at = np.arange(len(prints))
+    for place in positions(prints, 6 + len(of).bit_length() - 1):
+        at = at[(of[place[at] >> 6] >> (place[at] & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+    return at
+
+
+def _documents(shared):
+    """Rows (rid, text): the number of words, and the windows whose fingerprints the bitmap knows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items)
+        of, lengths = shared.value
         for batch in batches:
-            rows = []
             docs = [words_of(t) for t in text_bytes(batch.column(1))]
             size = np.array([len(d) for d in docs], np.int64)
             edge = np.concatenate([[0], np.cumsum(size)])
             flat = [w for d in docs for w in d]
-            hit, found = np.zeros(len(flat) + 1, np.int64), {}
-            for k, starts in block.starts(word_hashes(flat)):
-                doc = np.searchsorted(edge, starts, "right") - 1
-                inside = starts + k <= edge[doc + 1]
-                for s, d in zip(starts[inside].tolist(), doc[inside].tolist()):
-                    of = block.of.get(b" ".join(flat[s : s + k]))
-                    if of:
-                        hit[s] += 1
-                        hit[s + k] -= 1
-                        found.setdefault(d, set()).update(of)
-            covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-            n_hit = covered[edge[1:]] - covered[edge[:-1]]
-            spans = []
-            if keep_spans:
-                inside = np.diff(covered)
-                for d in range(len(docs)):
-                    m = np.flatnonzero(np.diff(np.concatenate([[0], inside[edge[d] : edge[d + 1]], [0]])))
-                    spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(m[::2], m[1::2])] if d in found else [])
-            else:
-                spans = [[]] * len(docs)
-            listed = [[x for x in found.get(d, ()) if x is not None] for d in range(len(docs))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                ["rid", "n_words", "n_hit", "items", "spans"],
-            )
+            h = word_hashes(flat)
+            starts, ks, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            for k in lengths:
+                each = windows_of(h, k)
+                at = known(each, of)
+                at = at[at + k <= edge[np.searchsorted(edge, at, "right")]]  # those that end in the document
+                starts.append(at)
+                ks.append(np.full(len(at), k, np.int32))
+                prints.append(each[at])
+            at, k, found = map(np.concatenate, (starts, ks, prints))
+            doc = np.searchsorted(edge, at, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            at, k, found, doc = at[order], k[order], found[order], doc[order]
+            digests = pa.array([_digest(flat[s : s + n]) for s, n in zip(at.tolist(), k.tolist())], pa.binary())
+            hits = pa.StructArray.from_arrays([pa.array(found.view(np.int64)), digests, pa.array(at - edge[doc]), pa.array(at - edge[doc] + k)], ["print", "window", "start", "stop"])
+            offsets = pa.array(np.searchsorted(doc, np.arange(len(docs) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(offsets, hits)], ["rid", "n_words", "hits"])
 
     return run
 
 
-SCHEMA = "rid {0}, n_words long, n_hit long, items array<long>, spans array<struct<start:long,stop:long>>"
-
-
-def benchmark_blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
-    """The items in runs of at most block_windows windows (a longer item is cut into overlapping parts), streamed through the driver one at a time."""
-    held, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).toLocalIterator():
-        words = words_of(bytes(row[1] or b""))
-        for at in range(0, max(1, len(words) - WINDOW + 1), block_windows):
-            part = words[at : at + block_windows + WINDOW - 1]
-            more = max(1, len(part) - WINDOW + 1)
-            if held and n + more > block_windows:
-                yield held
-                held, n = [], 0
-            held.append((row[0], part))
-            n += more
-    if held:
-        yield held
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", bits: int | None = None) -> DataFrame:
     """(rid, n_words, n_hit, items, spans) for each row; rid is the column ``key``, which may repeat or be null. spans: runs of hit words."""
-    rows = docs.select(F.col(key).alias("rid"), F.col("text").cast("string").alias("text"))
-    blocks = benchmark_blocks(benchmark, block_windows)
-    items, more = next(blocks, []), next(blocks, None)
-    if more is None:
-        return arrow_map(rows, _scan(items, True), SCHEMA.format(rows.schema["rid"].dataType.simpleString()))
-    # results of blocks are merged by row, so rows get a number, which is the same for all blocks as it is stored
-    rows = stored(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "rid").alias("rid"), "text"))
-    schema = SCHEMA.format(rows.schema["rid"].dataType.simpleString())
-    # each block's scan goes to the shared folder; only rows that it hit need merging
-    every = stored(arrow_map(rows, _scan(items, True), schema))
-    for items in itertools.chain([more], blocks):
-        every = every.union(stored(arrow_map(rows, _scan(items, True), schema).where("n_hit > 0")))
-    grouped = every.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    merged = F.aggregate("spans", empty, lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= s["start"]), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(s))))
-    grouped = grouped.withColumn("spans", merged)
-    return grouped.select("rid.rid", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_hit"), "items", "spans")
+    spark, bits = docs.sparkSession, bits or BITS
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"))
+    listed = arrow_map(items, _benchmark, "print long, window binary, k int, item long")
+    windows = stored(listed.groupBy("print", "window").agg(F.first("k").alias("k"), F.collect_set("item").alias("items")))
+    lengths = [r[0] for r in windows.select("k").distinct().collect()]  # no more than WINDOW
+    shared = spark.sparkContext.broadcast((bitmap(windows, bits), sorted(lengths)))
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("rid")).alias("rid"), F.col("text").cast("string").alias("text"))
+    hit = "struct<print:long,window:binary,start:long,stop:long>"
+    every = stored(arrow_map(rows, _documents(shared), f"rid {rows.schema['rid'].dataType.simpleString()}, n_words long, hits array<{hit}>"))
+    hits = every.select(F.col("rid.row").alias("row"), F.explode("hits").alias("hit")).select("row", "hit.*")
+    met = stored(hits.groupBy("print", "window").agg(F.count("*").alias("rows")).join(windows.drop("k"), ["print", "window"]))
+    found = join_spread(hits, met, ["print", "window"], "rows")
+    # the windows of a document, which are no more than its words
+    found = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    runs = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    last = lambda a: F.element_at(a, -1)
+    longer = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["stop"], s["stop"]).alias("stop"))))
+    found = found.withColumn("spans", F.aggregate("spans", runs, lambda a, s: F.when(F.size(a) == 0, F.array(s)).when(last(a)["stop"] >= s["start"], longer(a, s)).otherwise(F.concat(a, F.array(s)))))
+    joined = every.select(F.col("rid.row").alias("row"), F.col("rid.rid").alias("rid"), "n_words").join(found, "row", "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return joined.select("rid", "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("spans", runs).alias("spans"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(sources(spark, sf_dir, "documents"), sources(spark, sf_dir, "benchmark"), block_windows=BLOCK_WINDOWS)
+    found = find_contamination(sources(spark, sf_dir, "documents"), sources(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(F.col("rid").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, hashing, substrings
+from gridloom.llm import common, decontaminate, hashing, substrings
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,21 +47,21 @@ ITEMS = [(1, " ".join(f"w{k}" for k in range(25))), (2, "Short ITEM"), (3, ""),
 TEXTS = [(1, "x " * 5 + " ".join(f"W{k}," for k in range(3, 20)) + " y"), (2, "short"), (3, "a short  item, short item"), (4, None), (5, ""), (6, "a " * 12), (None, "nameless item here"), (7, "é è Ü1 é è ü1"), (8, " ".join(f"w{k}" for k in range(9))), (1, "x"), (9, "short\nitem " * 3000), (10, "clean words only")]
 
 
-@pytest.mark.parametrize("block", [1 << 18, 6])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("bits", [24, 7])
+def test_contamination(spark, bits):
     docs = spark.createDataFrame([(d, t, 1, "z", k) for k, (d, t) in enumerate(TEXTS)], "doc_id long, text string, n_hit int, items string, rid0 long")
     items = spark.createDataFrame([(i, t, 0) for i, t in ITEMS], "item_id long, text string, rid int")
-    got = decontaminate.find_contamination(docs, items, key="rid0", block_windows=block).collect()
+    got = decontaminate.find_contamination(docs, items, key="rid0", bits=bits).collect()
     assert sorted(((TEXTS[r["rid"]][0], r["n_words"], r["n_hit"], sorted(r["items"])) for r in got), key=key) == contamination(TEXTS, ITEMS)
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got)
 
 
-@pytest.mark.parametrize("block", [6, 1 << 18])
-def test_blocks_keep_repeated_and_null_ids(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("bits", [7, 24])
+def test_repeated_and_null_ids_keep_their_rows(spark, tmp_path, monkeypatch, bits):
     rows = TEXTS + [(1, "a short item"), (1, "a short item"), (None, "clean"), (None, "short item " * 3)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontaminate, "BITS", bits)
     got = decontaminate.op4_decontamination(spark, str(tmp_path)).collect()
     want = contamination(rows, ITEMS)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got), key=key) == sorted(((d, n, h, len(x)) for d, n, h, x in want), key=key)
@@ -81,6 +81,15 @@ def test_winnowing_keeps_a_hash_of_every_window():
     assert len(kept) == 491 and all(kept[i] == grams[i : i + 6].min() for i in range(491))
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = spark.createDataFrame([(k % 3 and 7, k) for k in range(300)] + [(None, 1), (9, 2)], "key long, x long")
+    counted = spark.createDataFrame([(7, "a", 200), (0, "b", 100), (9, "c", 1), (11, "d", 0)], "key long, y string, n long")
+    out = common.join_spread(rows, counted, ["key"], "n", spread=8)
+    assert out.columns == ["key", "x", "y"]
+    assert sorted(map(tuple, out.collect())) == sorted([(k % 3 and 7, k, "a" if k % 3 else "b") for k in range(300)] + [(9, 2, "c")])
+
+
 # --- repeats
 
 
@@ -114,6 +123,7 @@ def corpus():
 @pytest.mark.parametrize("bucket,m", [(4096, 4), (2, 4), (4096, 1), (4096, 35)])
 def test_repeats(spark, monkeypatch, bucket, m):
     monkeypatch.setattr(substrings, "BUCKET", bucket)
+    monkeypatch.setattr(common, "HOT", 1000 if bucket > 2 else 5)
     rows = corpus()
     df = spark.createDataFrame([(d, t, 1, "n", "k") for d, t in rows], "doc_id long, text string, repeats int, row string, id string")
     out = substrings.remove_repeats(df, m=m)
