@@ -1,10 +1,11 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions only.
 
-The sketch of a text is the set of all hashes of its 5-word shingles (A-Z... in lower
-case) under a fixed share of the hash range, and its smallest hash, so that none is
-empty; texts of fewer words are one shingle, and texts of none have the empty sketch. Sketches of parts
-merge by union, and the share of the smaller sketch that is in the other estimates containment,
-however unequal the documents. Kept hashes are stored by their low 32 bits.
+The sketch of a text is the set of all 64-bit hashes of its 5-word shingles (in lower
+case) under a fixed share of the hash range. Sketches of parts merge by union (``merge``) into the sketch of the
+whole, and the share of one sketch that is in another estimates containment, however unequal the documents.
+Texts of up to SMALL shingles, of which few hashes or none would be kept, keep all, and are marked as exact; two of
+those are compared exactly, and any other two by the hashes under the threshold. Texts of fewer than 5 words are one
+shingle; texts of none have the empty sketch.
 
 ``with_next`` pairs each document with the one after it, in descending doc_id:
 ids alone are sorted by range; the text's only shuffle, by id, serves both to send
@@ -13,7 +14,7 @@ the start of each text to its predecessor and to receive it.
 Nulls: a null text is empty; a null doc_id comes last. Rows that are equal in id and text
 stand at one place and have equal results; other rows of one id are ordered by a hash of
 the text. A table of one row is its own next. An empty table gives no rows; other
-columns are ignored.
+columns are ignored. Very long texts are whole; their sketches grow with them, by a share of their shingles.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from gridloom.llm.common import sources, stored
 SHINGLE = 5
 #: One of so many hashes is kept.
 SCALE = 8
+#: Shingles up to which all are kept.
+SMALL = 64
 LEAST = -(1 << 63)
 
 
@@ -32,23 +35,41 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), "[ \\t-\\r]+")
 
 
+def under(hashes: Column, scale: int = SCALE) -> Column:
+    return F.filter(hashes, lambda x: x < LEAST + (1 << 64) // scale)
+
+
 def sketch(text: Column, scale: int = SCALE) -> Column:
-    """Sorted array of ints."""
+    """struct(exact, hashes), hashes sorted."""
     w = words(text)
     hashes = F.transform(F.array(w), lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(a, i + k) for k in range(SHINGLE)))))[0]
-    kept = F.transform(F.array(hashes), lambda h: F.concat(F.filter(h, lambda x: x < LEAST + (1 << 64) // scale), F.array(F.array_min(h))))[0]
-    low = F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))))
-    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.array().cast("array<int>")).otherwise(low)
+    made = lambda exact, h: F.struct(F.lit(exact).alias("exact"), F.array_sort(F.array_distinct(h)).alias("hashes"))
+    kept = F.transform(F.array(hashes), lambda h: F.when(F.size(h) <= SMALL, made(True, h)).otherwise(made(False, under(h, scale))))[0]
+    return F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", made(True, F.array().cast("array<bigint>"))).otherwise(kept)
+
+
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles of both."""
+    both = F.array_sort(F.array_union(a["hashes"], b["hashes"]))
+    exact = a["exact"] & b["exact"] & (F.size(both) <= SMALL)
+    return F.struct(exact.alias("exact"), F.when(exact, both).otherwise(under(both, scale)).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """= or ~ (exact or not), and 16 hex digits of each hash."""
+    return F.concat(F.when(s["exact"], "=").otherwise("~"), F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The share of a's shingles that b has, estimated, or exact for two exact sketches; null if a has nothing to tell by."""
+    exact = a["exact"] & b["exact"]
+    x, y = (F.when(exact, s["hashes"]).otherwise(under(s["hashes"], scale)) for s in (a, b))
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the other; 1 for two empty ones."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
+    """Containment of the smaller sketch in the other; 1 for equal ones; 0 if there is nothing to tell by."""
+    return F.when(a == b, 1.0).otherwise(F.coalesce(F.greatest(containment(a, b), containment(b, a)), F.lit(0.0)))
 
 
 def _next_ids(keyed: DataFrame) -> DataFrame:
