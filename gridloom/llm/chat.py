@@ -2,8 +2,8 @@
 
 ``format_conversations`` turns rows of (conversation, turn, role, text) into one
 formatted byte string per conversation: segment lengths, cumulative offsets and
-gather indices are computed in numpy, and headers, contents and ends are copied into
-one preallocated buffer. A conversation over ``chunk_bytes`` becomes several chunks,
+scatter indices are computed in numpy, and headers, contents and ends are copied into
+one preallocated Arrow buffer, of which the rows are slices. A conversation over ``chunk_bytes`` becomes several chunks,
 cut between turns, so that memory stays bounded however long it is.
 
 Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Texts are escaped reversibly: every
@@ -50,49 +50,49 @@ def unescape_role(role: bytes) -> bytes:
     return re.sub(rb"\\(.)", lambda m: b"\n" if m[1] == b"n" else m[1], role, flags=re.S)
 
 
-def assemble(roles: list[str], contents: pa.Array, trained: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all turns after one another; for each turn its start, and start and stop of its loss span."""
+def assemble(roles: list[str], contents: pa.Array, trained: str) -> tuple[pa.Buffer, np.ndarray, np.ndarray, np.ndarray]:
+    """An Arrow buffer with the bytes of all turns after one another; for each turn its start, and start and stop of its loss span."""
     names = sorted(set(roles))
-    heads = [START + escape_role(r).encode() + b"\n" for r in names]
+    heads = [np.frombuffer(START + escape_role(r).encode() + b"\n", np.uint8) for r in names]
     of = np.searchsorted(np.array(names, object), np.array(roles, object)) if roles else np.zeros(0, int)
     data = contents.cast(pa.large_binary())
-    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    body = np.frombuffer(data.buffers()[2] or b"", np.uint8)
-    pool = np.concatenate([body, np.frombuffer(b"".join(heads) + END, np.uint8)])
-    head_len = np.array([len(h) for h in heads], np.int64)
-    head_at = len(body) + np.cumsum(head_len) - head_len
-    n = len(roles)
-    lengths, at = np.empty((n, 3), np.int64), np.empty((n, 3), np.int64)
-    lengths[:, 0], at[:, 0] = head_len[of], head_at[of]
-    lengths[:, 1], at[:, 1] = np.diff(offsets), offsets[:-1]
-    lengths[:, 2], at[:, 2] = len(END), len(pool) - len(END)
-    flat = lengths.ravel()
-    to = np.cumsum(flat) - flat
-    total = int(flat.sum())
-    out = np.empty(total, np.uint8)
-    np.take(pool, np.arange(total) + np.repeat(at.ravel() - to, flat), out=out)
-    starts = to.reshape(n, 3)
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    body = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    lengths = np.empty((len(roles), 3), np.int64)
+    lengths[:, 0], lengths[:, 1], lengths[:, 2] = np.array([len(h) for h in heads], np.int64)[of], np.diff(offsets), len(END)
+    to = (np.cumsum(lengths) - lengths.ravel()).reshape(-1, 3)
+    buffer = pa.allocate_buffer(int(lengths.sum()))
+    out = np.frombuffer(buffer, np.uint8)
+    # where each byte of the contents goes, and each of the headers and ends
+    out[np.arange(len(body)) + np.repeat(to[:, 1] - (offsets[:-1] - offsets[0]), lengths[:, 1])] = body
+    for k, head in enumerate(heads):
+        out[to[of == k, 0][:, None] + np.arange(len(head))] = head
+    out[to[:, 2][:, None] + np.arange(len(END))] = np.frombuffer(END, np.uint8)
     mask = np.array([r == trained for r in roles], bool)
-    stops = np.where(mask, starts[:, 2], starts[:, 1])
-    return out, starts[:, 0], starts[:, 1], stops
+    return buffer, to[:, 0], to[:, 1], np.where(mask, to[:, 2], to[:, 1])
 
 
 def _format(trained: str, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk_of: list = [None, 0]  # conversation begun before, chunks of it given out
 
-        def emit(table: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+        def emit(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+            """The turns from each cut to the next are a row. Rows are slices of the one buffer."""
             ids = table.column(0).to_pylist()
-            text = escape_text(table.column(2).combine_chunks())
-            out, start, a, b = assemble([r or "" for r in table.column(1).to_pylist()], text, trained)
-            edge = np.append(start, len(out))
-            rows = []
-            for i, j in groups:
+            buffer, start, a, b = assemble([r or "" for r in table.column(1).to_pylist()], escape_text(table.column(2).combine_chunks()), trained)
+            edge, chunks = np.append(start, buffer.size)[cuts], []
+            for i in cuts[:-1]:
                 chunk_of[1] = chunk_of[1] + 1 if ids[i] == chunk_of[0] and chunk_of[1] else 1
                 chunk_of[0] = ids[i]
-                base = int(edge[i])
-                rows.append((ids[i], chunk_of[1] - 1, j - i, out[base : int(edge[j])].tobytes(), [{"start": int(x) - base, "stop": int(y) - base} for x, y in zip(a[i:j], b[i:j]) if y > x]))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))], ["conv_id", "chunk", "n_turns", "formatted", "loss"])
+                chunks.append(chunk_of[1] - 1)
+            turns = np.diff(cuts)
+            row, some = np.repeat(np.arange(len(turns)), turns), b > a
+            spans = pa.StructArray.from_arrays([pa.array((x - edge[row])[some]) for x in (a, b)], ["start", "stop"])
+            listed = np.concatenate([[0], np.cumsum(np.bincount(row[some], minlength=len(turns)))]).astype(np.int32)
+            formatted = pa.BinaryArray.from_buffers(pa.binary(), len(turns), [None, pa.py_buffer(edge.astype(np.int32)), buffer])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in cuts[:-1]], pa.int64()), pa.array(chunks, pa.int64()), pa.array(turns), formatted, pa.ListArray.from_arrays(pa.array(listed), spans)], ["conv_id", "chunk", "n_turns", "formatted", "loss"]
+            )
 
         rest = None
         for batch in batches:
@@ -103,11 +103,10 @@ def _format(trained: str, chunk_bytes: int):
             if rest.slice(cuts[-1]).nbytes >= chunk_bytes:
                 cuts.append(len(ids))
             if len(cuts) > 1:
-                yield emit(rest.slice(0, cuts[-1]), list(zip(cuts, cuts[1:])))
+                yield emit(rest.slice(0, cuts[-1]), cuts)
                 rest = rest.slice(cuts[-1])
         if rest is not None and len(rest):
-            ids = rest.column(0).to_pylist()
-            yield emit(rest, [(0, len(ids))])
+            yield emit(rest, [0, len(rest)])
 
     return run
 

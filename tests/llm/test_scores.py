@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import licenses, quality, recurrent, sketches
 
@@ -147,12 +149,50 @@ def test_next_with_nulls_and_repeats(spark):
     assert len(got) == 6
     after = {(r["id"], r["text"]): r["start"] for r in got}
     assert after[5, "first words"] == "c c"[:3] and after[sketches.LEAST, "last text"] == "fir"
-    assert len({(r["text"], tuple(r["sketch"])) for r in got}) == 5
+    assert len({(r["text"], str(r["sketch"])) for r in got}) == 5
     one = sketches.with_next(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert one["start"] == "ab"
     assert sketches.with_next(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def sketch_of(text):
+    w, hashes = text.lower().split(), set()
+    if not w:
+        return True, []
+    for i in range(max(1, len(w) - 4)):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        hashes.add(h - (1 << 64) if h >> 63 else h)
+    exact = max(1, len(w) - 4) <= sketches.SMALL
+    return exact, sorted(h for h in hashes if exact or h < sketches.LEAST + (1 << 61))
+
+
+def likeness_of(a, b):
+    if a == b:
+        return 1.0
+    x, y = ({h for h in s[1] if a[0] and b[0] or h < sketches.LEAST + (1 << 61)} for s in (a, b))
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
+def test_sketches_and_likeness_by_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: f"W{rng.randrange(10**6)}"
+    short = [" ".join(word() for _ in range(n)) for n in (6, 6, 20, 60, 64, 69)]
+    texts = [*short, *(f"{t} {' '.join(word() for _ in range(200))}" for t in short), "", None, "one", "a b " * 9000, " \t\n"]
+    df = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    df = df.select("i", "j", *(sketches.sketch(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in "ab"))
+    of = [sketch_of(t or "") for t in texts]
+    for r in df.select("i", "j", "a", sketches.likeness(F.col("a"), F.col("b")).alias("like"), sketches.merge(F.col("a"), F.col("b")).alias("both"), sketches.containment(F.col("a"), F.col("b")).alias("part")).collect():
+        a, b = of[r["i"]], of[r["j"]]
+        assert (r["a"]["exact"], r["a"]["hashes"]) == a and r["like"] == pytest.approx(likeness_of(a, b))
+        union = sorted(set(a[1]) | set(b[1]))
+        exact = a[0] and b[0] and len(union) <= sketches.SMALL
+        assert (r["both"]["exact"], r["both"]["hashes"]) == (exact, [h for h in union if exact or h < sketches.LEAST + (1 << 61)])
+        if r["i"] < len(short) and r["j"] == r["i"] + len(short):
+            assert r["part"] in (1.0, None)  # a text lies whole in the longer one
+
+
 # --- licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -166,14 +206,12 @@ def license_rows(docs):
         for phrase, label in licenses.PHRASES.items():
             p = phrase.split()
             places += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
-        for line in t.split("\n"):
-            lw = WORD.findall(line)
-            for s in range(0, max(1, len(lw) - 32), 32):
-                block = set(lw[s : s + 64])
-                for label, text in licenses.TEMPLATES:
-                    share = len(set(text.split()) & block) / len(set(text.split()))
-                    if share >= 0.8 - 1e-9:
-                        extra[label] = max(extra.get(label, 0), share)
+        for label, text in licenses.TEMPLATES:
+            need, tier = set(text.split()), licenses.tier_of(text)
+            for s in range(0, max(1, len(w) - tier), tier):
+                share = len(need & set(w[s : s + 2 * tier])) / len(need)
+                if share >= 0.8 - 1e-9:
+                    extra[label] = max(extra.get(label, 0), share)
         base = {label for _, label in places}
         out[d] = (len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | set(extra))), 1.0 if base else max(extra.values(), default=0.0))
     return out
@@ -181,7 +219,7 @@ def license_rows(docs):
 
 def test_licenses(spark, tmp_path):
     rng = random.Random(4)
-    texts = ["", None, "Under the MIT license", "released, under THE mit LICENSE\nunder the mit license under the mit license", "all rights", "All RIGHTS-reserved.", "cc by\nnc", "licensed under cc by nc 4 0", "apache license version 2", " ".join(["filler"] * 70 + licenses.TEMPLATES[1][1].split() + ["tail"] * 90), "Redistribution and use in source and binary forms, with modification, are permitted\n", "é" * 300]
+    texts = ["", None, "Under the MIT license", "released, under THE mit LICENSE\nunder the mit license under the mit license", "all rights", "All RIGHTS-reserved.", "cc by\nnc", "licensed under cc by nc 4 0", "apache license version 2", " ".join(["filler"] * 70 + licenses.TEMPLATES[1][1].split() + ["tail"] * 90), "Redistribution and use in source and binary forms, with modification, are permitted\n", "é" * 300, "this wor\u212a is licensed under the gnu general public license version 3", "word " * 50_000 + licenses.TEMPLATES[1][1], "\n".join(licenses.TEMPLATES[-1][1].split())]
     for _, t in licenses.TEMPLATES * 6:
         w = t.split()
         for _ in range(rng.randint(0, 4)):
@@ -197,6 +235,12 @@ def test_licenses(spark, tmp_path):
         assert got[d][6] == pytest.approx(want[d][6])
     assert licenses.scan(spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string"), []).collect() == []
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([], "doc_id long, text string"), [("none", "...")])
+    twice = spark.createDataFrame([(1, "all rights reserved"), (1, "all rights reserved"), (1, "nothing"), (None, "All rights reserved")], "doc_id long, text string")
+    twice.write.parquet(f"{tmp_path}/again/documents.parquet")
+    rows = licenses.op10_license_scan(spark, f"{tmp_path}/again").collect()
+    assert sorted((r["doc_id"] or 0, r["labels"]) for r in rows) == [(0, "all-rights-reserved"), (1, ""), (1, "all-rights-reserved"), (1, "all-rights-reserved")]
 
 
 def test_wrapped_and_long_templates(spark):
