@@ -27,6 +27,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm.common import arrow_map, holdout, sources, stored, text_bytes
 
-HIDDEN, STEPS, STREAMS = 24, 24, 128
-HEAD, CLASS, TAIL = 512, 32, 48
+HIDDEN, STEPS, STREAMS = 16, 24, 256
+HEAD, CLASS, TAIL = 1024, 32, 32
 SHORTLIST = 100_000
 #: Text that advances in step: more makes wider matrix products.
 SCORED_BYTES = 12 << 20
@@ -112,7 +113,10 @@ def start(head_counts: np.ndarray, tail_mass: np.ndarray) -> dict[str, np.ndarra
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def forward(p: dict, ids: np.ndarray, h: np.ndarray, first: np.ndarray | None = None):
@@ -130,36 +134,54 @@ def forward(p: dict, ids: np.ndarray, h: np.ndarray, first: np.ndarray | None =
     return states, gates, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of logits x, which is overwritten: the log probability at one place, exponentials, and their sum."""
+    rows = np.arange(len(x))
+    picked = x[rows, at]
+    top = float(x.max()) if x.size else 0.0
+    if top > 60:  # states are within -1 and 1, so this is rare
+        shift = x.max(1)
+        x -= shift[:, None]
+        picked = picked - shift
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return picked - np.log(total), x, total
 
 
 def outputs(p: dict, s: np.ndarray, ids: np.ndarray, grads: dict | None = None):
     """Natural log probability of class, and of word within a head class, for states s and ids; with grads, also the gradient by s."""
     classes = HEAD // CLASS
-    cls = np.where(ids < HEAD, ids // CLASS, ids - HEAD + classes)
-    lp = _log_softmax(s @ p["C"] + p["c"])
-    out = lp[np.arange(len(ids)), cls]
+    cls = np.where(ids < HEAD, ids // CLASS, ids - HEAD + classes).astype(np.uint16)
+    order = np.argsort(cls, kind="stable")
+    edge = np.searchsorted(cls[order], np.arange(classes + 1))
+    head, states = order[: edge[-1]], s[order[: edge[-1]]]
+    place = ids[head] % CLASS
+    x = s @ p["C"]
+    x += p["c"]
+    out, e, total = _softmax_at(x, cls)
     ds = None
     if grads is not None:
-        d = np.exp(lp)
-        d[np.arange(len(ids)), cls] -= 1
-        grads["C"], grads["c"], ds = s.T @ d, d.sum(0), d @ p["C"].T
+        e[np.arange(len(ids)), cls] -= total  # gradients by logits, times the sum
+        share = (1 / total)[:, None]
+        grads["C"], grads["c"], ds = (s * share).T @ e, share[:, 0] @ e, e @ p["C"].T
+        ds *= share
         grads["W"], grads["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(classes + 1))
+        back = np.empty_like(states)
+    words = np.empty(len(head), out.dtype)
     for k in range(classes):
-        rows = order[edge[k] : edge[k + 1]]
-        if len(rows):
-            lw = _log_softmax(s[rows] @ p["W"][k] + p["w"][k])
-            at = ids[rows] % CLASS
-            out[rows] += lw[np.arange(len(rows)), at]
+        a, b = edge[k], edge[k + 1]
+        if a < b:
+            x = states[a:b] @ p["W"][k]
+            x += p["w"][k]
+            words[a:b], e, total = _softmax_at(x, place[a:b])
             if grads is not None:
-                d = np.exp(lw)
-                d[np.arange(len(rows)), at] -= 1
-                grads["W"][k], grads["w"][k] = s[rows].T @ d, d.sum(0)
-                ds[rows] += d @ p["W"][k].T
+                e[np.arange(b - a), place[a:b]] -= total
+                share = (1 / total)[:, None]
+                grads["W"][k], grads["w"][k] = (states[a:b] * share).T @ e, share[:, 0] @ e
+                back[a:b] = (e @ p["W"][k].T) * share
+    out[head] += words
+    if grads is not None:
+        ds[head] += back
     return out, ds
 
 
@@ -184,14 +206,15 @@ def train_window(p: dict, square: dict, ids: np.ndarray, first: np.ndarray, h: n
         dh = dh * (1 - z) + drs * r + de[t, :, : 2 * n] @ p["U"].T + ds[t]
         dh = dh * ~first[t][:, None]
     flat, wide = ids.ravel(), de.reshape(-1, 3 * n)
-    g["E"] = np.zeros_like(p["E"])
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
     begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    g["E"][flat[order[begin]]] = np.add.reduceat(wide[order], begin, axis=0)
+    seen, d = flat[order[begin]], np.add.reduceat(wide[order], begin, axis=0) / np.float32(ids.size)
+    square["E"][seen] += d * d
+    p["E"][seen] -= np.float32(rate) * d / (np.sqrt(square["E"][seen]) + np.float32(1e-6))
     for k, d in g.items():
-        d /= ids.size
+        d /= np.float32(ids.size)
         square[k] += d * d
-        p[k] -= rate * d / (np.sqrt(square[k]) + 1e-6)
+        p[k] -= np.float32(rate) * d / (np.sqrt(square[k]) + np.float32(1e-6))
     return last, float(lp.sum())
 
 
@@ -205,9 +228,20 @@ class Lexicon:
         self.head_counts = np.array([count.get(w, 0) for w in head], float)
         self.tokens, self.kinds = tokens, kinds
         self.tail_mass = tail_total + 0.1 * (tail_kinds + 1)
-        self.id = {w: self.head[w] if w in self.head else HEAD + tail_class(w) for w in words} | {END: 0}
-        self.log = {END: -1.0} | {w: float(np.log10(n + 0.1)) for w, n in count.items()}
-        self.count = count
+        listed = words if END in count else [*words, END]
+        self.at = {w: i for i, w in enumerate(listed)}
+        self.id = np.array([self.head[w] if w in self.head else HEAD + tail_class(w) for w in listed], np.int64)
+        self.log = np.log10(np.array([count.get(w, 0) for w in listed], float) + 0.1)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Of each word, in the shortlist; -1 if it isn't there."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
+        out = self.id[places]
+        for i in np.flatnonzero(places < 0).tolist():
+            out[i] = HEAD + tail_class(words[i])
+        return out
 
 
 def _stream(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,10 +263,9 @@ def _train(lexicon, params, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, p = lexicon.value, {k: v.copy() for k, v in params.value.items()}
         square, seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}, 0
-        get = lex.id.get
         rest, begins = np.zeros(0, np.int64), np.zeros(0, bool)
         for batch in batches:
-            docs = [np.array([i if (i := get(w)) is not None else HEAD + tail_class(w) for w in words_of(t)], np.int64) for t in text_bytes(batch.column(0))]
+            docs = [lex.ids(words, lex.places(words)) for words in map(words_of, text_bytes(batch.column(0)))]
             if not docs:
                 continue
             start_of = np.zeros(sum(map(len, docs)), bool)
@@ -285,52 +318,47 @@ def learn(docs: DataFrame, rounds: int = ROUNDS, shortlist: int = SHORTLIST, rat
 # --- scoring -----------------------------------------------------------------
 
 
+#: Documents that advance in step.
+ABREAST = 1024
+
+
 def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
     """Sum of natural log probabilities of each document's classes and head words."""
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    length = np.array([len(docs[i]) for i in order])
-    out, h, at = np.zeros(len(docs)), np.zeros((len(docs), HIDDEN), np.float32), 0
-    while len(length) and at < length[0]:
-        live = int(np.searchsorted(-length, -at, "left"))  # documents longer than at
-        steps = int(min(STEPS, length[0] - at))
-        ids, real = np.zeros((steps, live), np.int64), np.zeros((steps, live), bool)
-        for j in range(live):
-            part = docs[order[j]][at : at + steps]
-            ids[: len(part), j] = part
-            real[: len(part), j] = True
-        states, _, h = forward(p, ids, h[:live])
-        flat = np.flatnonzero(real.ravel())
-        lp, _ = outputs(p, states.reshape(-1, HIDDEN)[flat], ids.ravel()[flat])
-        out[order[:live]] += np.bincount(flat % live, lp, minlength=live)
-        at += steps
+    out = np.zeros(len(docs))
+    for some in (order[a : a + ABREAST] for a in range(0, len(order), ABREAST)):
+        length = np.array([len(docs[i]) for i in some])
+        flat, begin = np.concatenate([docs[i] for i in some]), np.cumsum(length) - length
+        h = np.zeros((len(some), HIDDEN), np.float32)
+        for at in range(0, int(length[0]), STEPS):
+            live = int(np.searchsorted(-length, -at, "left"))  # documents longer than at
+            step = np.arange(at, min(at + STEPS, int(length[0])))[:, None]
+            real = np.flatnonzero(step < length[:live])
+            ids = flat[begin[:live] + np.minimum(step, length[:live] - 1)]
+            states, _, h = forward(p, ids, h[:live])
+            lp, _ = outputs(p, states.reshape(-1, HIDDEN)[real], ids.ravel()[real])
+            out[some[:live]] += np.bincount(real % live, lp, minlength=live)
     return out
 
 
 def _score(lexicon, params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, p = lexicon.value, params.value
-        get, mass = lex.id.get, np.log10(lex.tail_mass)
+        mass = np.log10(lex.tail_mass)
         scale = float(np.log10(lex.tokens + 0.1 * (lex.kinds + 1)))
         for batch in batches:
             docs, base, known, rest, tails, more = [], [], [], [], [], []
             for text in text_bytes(batch.column(2)):
                 words = words_of(text)
-                ids, times = list(map(get, words)), {}
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            w = words[i]
-                            ids[i] = HEAD + tail_class(w)
-                            times[w] = times.get(w, 0) + 1
-                ids = np.array(ids, np.int64)
+                places = lex.places(words)
+                ids, near = lex.ids(words, places), places >= 0
+                logs = np.where(near, lex.log[places], 0)  # what isn't in the shortlist is added after a join
                 docs.append(ids)
-                logs = [lex.log[w] for w in words if w not in times] if times else [lex.log.get(w, -1.0) for w in words]
-                counted = np.array(logs)
-                far = np.array([w not in times for w in words], bool) if times else np.ones(len(words), bool)
-                base.append(float(counted.sum()) - scale * len(words))
-                known.append(int((counted > -1.0).sum()))
+                base.append(float(logs.sum()) - scale * len(words))
+                known.append(int((logs[near] > -1.0).sum()))
                 in_tail = ids >= HEAD
-                rest.append(float(counted[in_tail[far]].sum() - mass[ids[in_tail] - HEAD].sum()))
+                rest.append(float(logs[in_tail].sum() - mass[ids[in_tail] - HEAD].sum()))
+                times = Counter([words[i] for i in np.flatnonzero(~near).tolist()])
                 tails.append([{"word": w, "times": n} for w, n in times.items()])
                 more.append(len(words))
             score = score_ids(p, docs) / np.log(10) + np.array(rest)
