@@ -154,15 +154,51 @@ def hilbert_inverse(df, code: str, rank: int, order: int, into: Sequence[str]):
     return df.withColumns(dict(zip(into, map(F.col, x)))).drop("__ht", *x)
 
 
-def byte_address(offset: Column, bits: int, byte_offset: int = 0) -> Column:
-    """The byte that holds the element; sub-byte types round towards minus infinity."""
+def element_offset(layout: dict, idx: Sequence[Column], shape: Sequence[Dim]) -> Column:
+    """The position of an element in the buffer of a layout, as descriptors give it. Layouts of several buffers, and composites, have lookups of their own."""
+    kind = layout["kind"]
+    if kind == "row":
+        return row_major(idx, shape)
+    if kind == "col":
+        return col_major(idx, shape)
+    if kind == "strided":
+        return strided(idx, layout["strides"])
+    if kind == "morton":
+        return morton(idx, layout["bits"])
+    if kind == "tiled":
+        inner, outer = layout.get("inner", {"kind": "row"}), layout.get("outer", {"kind": "row"})
+        if inner["kind"] in ("row", "col") and outer["kind"] in ("row", "col"):
+            return tiled(idx, shape, layout["tile"], outer["kind"], inner["kind"])
+    raise ValueError(f"no single position in layout {kind}")
+
+
+def floor_div(x: Column, n: int) -> Column:
+    """In integers, towards minus infinity."""
+    return div(x - F.pmod(x, F.lit(n)), n)
+
+
+def byte_address(offset: Column, bits: int, byte_offset: int = 0, byte_size: int | None = None) -> Column:
+    """The byte that holds the element; sub-byte types round towards minus infinity. An address outside a buffer of byte_size is an error."""
+    offset = offset.cast("long")
     if bits >= 8:
         at = offset * (bits // 8)
     elif bits == 6:
-        at = F.floor(offset / 4).cast("long") * 3
+        at = floor_div(offset, 4) * 3
     else:
-        at = F.floor(offset / (8 // bits)).cast("long")
-    return at + byte_offset
+        at = floor_div(offset, 8 // bits)
+    at = at + byte_offset
+    if byte_size is None:
+        return at
+    size = max(1, bits // 8) if bits != 6 else 3
+    return F.when((at < 0) | (at + size > byte_size), F.raise_error(F.concat(F.lit("address outside the buffer: "), at.cast("string"))).cast("long")).otherwise(at)
+
+
+def checked_index(coords: Sequence[Column], shape: Sequence[int | None]) -> list[Column]:
+    """The coordinates; one for each dimension and each within it, or an error. A dimension of None is dynamic and has no upper bound."""
+    if len(coords) != len(shape):
+        raise ValueError(f"{len(coords)} coordinates for rank {len(shape)}")
+    inside = [(c >= 0) & (F.lit(True) if n is None else c < n) for c, n in zip(coords, shape)]
+    return [F.when(ok, c).otherwise(F.raise_error(F.concat(F.lit("index out of bounds: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("long")) for c, ok in zip(coords, inside)]
 
 
 def buffer_size_bytes(n: Column, bits: int) -> Column:

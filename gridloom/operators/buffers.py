@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridloom.functions.address import row_major_inverse
 from gridloom.functions.elements import BITS, MICRO, micro_value
 
-WIDE = {"float16": "<f2", "float32": "<f4", "float64": "<f8", "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "int64": "<i8", "uint64": "<u8"}
+WIDE = {"float16": "<f2", "float32": "<f4", "float64": "<f8", "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "int64": "<i8", "uint64": "<u8", "complex64": "<c8", "complex128": "<c16"}
 
 
 def decode_bytes(data: bytes, kind: str) -> np.ndarray:
@@ -24,6 +24,8 @@ def decode_bytes(data: bytes, kind: str) -> np.ndarray:
     if kind == "float8_e8m0":
         return np.where((raw == 0) | (raw == 255), np.nan, 2.0 ** (raw.astype(float) - 127))
     bits = BITS[kind]
+    if bits > 8:
+        raise ValueError(f"{kind} has no array type here")
     if bits == 8:
         codes = raw
     else:

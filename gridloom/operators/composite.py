@@ -52,7 +52,7 @@ def overlay_replace(members: DataFrame, coords: Sequence[str]) -> DataFrame:
 
 
 def overlay_add(members: DataFrame, coords: Sequence[str]) -> DataFrame:
-    return members.groupBy(*coords).agg(F.sum(F.col("v").cast("decimal(28,6)")).cast("double").alias("v"))
+    return members.groupBy(*coords).agg(F.sum(F.col("v").cast("double")).alias("v"))
 
 
 def coverage(boxes: DataFrame, rank: int) -> DataFrame:

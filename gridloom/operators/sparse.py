@@ -10,9 +10,9 @@ from gridloom.operators.prefix import exclusive_sum
 
 
 def coo(df: DataFrame, coords: Sequence[str], value: str) -> DataFrame:
-    """One cell per coordinate, values summed: COO forbids duplicates."""
+    """One cell per coordinate, values summed as doubles: COO forbids duplicates. A single value is kept as it is."""
     names = [f"i{k}" for k in range(len(coords))]
-    return df.groupBy(*(F.col(c).cast("long").alias(n) for c, n in zip(coords, names))).agg(F.sum(F.col(value).cast("decimal(28,4)")).cast("double").alias("v"))
+    return df.groupBy(*(F.col(c).cast("long").alias(n) for c, n in zip(coords, names))).agg(F.sum(F.col(value).cast("double")).alias("v"))
 
 
 def lookup(points: DataFrame, cells: DataFrame, coords: Sequence[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def height(spark: SparkSession, sf: str) -> int:
 
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.coo(read(spark, sf, "lineitem"), ["l_suppkey", "l_partkey"], "l_quantity")
+    return sparse.coo(read(spark, sf, "lineitem"), ["l_suppkey", "l_partkey"], "l_quantity").withColumn("v", F.round("v", 4))
 
 
 def cube(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,7 +366,7 @@ def overlay_replace(spark, sf):
 
 @query(CELLS + "SELECT i0, i1, CAST(CAST(round(CAST(v AS DOUBLE), 3) AS DECIMAL(28,6)) + CASE WHEN (i0 + i1) % 5 = 0 THEN CAST(round(i0 / 8, 3) AS DECIMAL(28,6)) ELSE 0 END + CASE WHEN i1 < 8 THEN CAST(round(i1 / 4, 3) AS DECIMAL(28,6)) ELSE 0 END AS DOUBLE) AS v FROM cells")
 def overlay_add(spark, sf):
-    return composite.overlay_add(_members(spark, sf).withColumn("v", F.round("v", 3)), ["i0", "i1"])
+    return composite.overlay_add(_members(spark, sf).withColumn("v", F.round("v", 3)), ["i0", "i1"]).withColumn("v", F.round("v", 6))
 
 
 @query("SELECT conv_id, true AS ok FROM conversations GROUP BY conv_id")

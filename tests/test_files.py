@@ -129,3 +129,19 @@ def test_composites():
     for bad in ([head("partition", 2), part(0, 1)], [head("partition", 2), part(0, 1), part(1, 2)], [head("partition", 2), part(0, 2), part(1, 3)], [head("overlay", 1, combine="add"), part(0, 1)]):
         with pytest.raises(FormatError):
             list(frames.assemble(iter(bad)))
+
+
+@pytest.mark.parametrize(
+    "d",
+    [
+        dense([3, 3], 8, layout={"kind": "csr", "nnz": 2}, buffers=[buffer(8)]),
+        dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 0, "pages": 5, "axis": 0, "sequences": 2, "role": 1, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
+        dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 9, "sequences": 2, "role": 1, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
+        dense([2, 2], 16, layout={"kind": "private", "tag": 0x03, "id": 9, "data": b"abc"}),
+        dense([2, 2], 16, statistics={"nm_n": 4, "nm_m": 2}),
+        dense([2, 2], 16, statistics={"value_mean": 1.0, "value_stddev": -1.0}),
+    ],
+)
+def test_descriptors_that_break_a_rule(d):
+    with pytest.raises(FormatError):
+        encode(d)

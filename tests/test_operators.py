@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import create, paged, prefix, quantize, sparse
+from gridloom.functions import address
+from gridloom.operators import buffers, composite, create, paged, prefix, quantize, sparse, statistics
 
 
 def cells(spark, rows, rank=2):
@@ -69,3 +71,55 @@ def test_generators(spark):
     assert [r["v"] for r in create.linspace(spark, 0.0, 1.0, 1).collect()] == [0.0]
     with pytest.raises(ValueError):
         create.arange(spark, 0, 5, 0)
+
+
+def test_values_are_kept(spark):
+    rows = spark.createDataFrame([(0, 0, 1e-5), (0, 1, 0.123456789), (1, 0, 3.4e30)], "a long, b long, x double")
+    assert {(r["i0"], r["i1"]): r["v"] for r in sparse.coo(rows, ["a", "b"], "x").collect()} == {(0, 0): 1e-5, (0, 1): 0.123456789, (1, 0): 3.4e30}
+    members = spark.createDataFrame([(0, 1e-7, 0), (0, 2e-7, 1)], "i0 long, v double, ordinal int")
+    assert abs(composite.overlay_add(members, ["i0"]).first()["v"] - 3e-7) < 1e-18
+
+
+def test_statistics_count_what_is_not_stored(spark):
+    one = statistics.summary(spark.createDataFrame([(0, 4.0)], "i0 long, v double"), F.lit(4)).first()
+    assert (one["nnz"], one["value_min"], one["value_max"], one["value_mean"], one["sparsity_ratio"]) == (1, 0.0, 4.0, 1.0, 0.75)
+    assert abs(one["value_stddev"] - 3**0.5) < 1e-12
+    none = statistics.summary(spark.createDataFrame([], "i0 long, v double"), F.lit(3)).first()
+    assert (none["nnz"], none["value_min"], none["value_mean"], none["sparsity_ratio"], none["has_nan"]) == (0, 0.0, 0.0, 1.0, False)
+    assert statistics.summary(spark.createDataFrame([], "i0 long, v double"), F.lit(0)).first()["sparsity_ratio"] is None
+
+
+def test_addresses_of_large_and_negative_offsets(spark):
+    df = spark.createDataFrame([((1 << 60) + 7,), (-1,), (5,)], "o long")
+    got = [r[0] for r in df.select(address.byte_address(F.col("o"), 4)).collect()]
+    assert got == [((1 << 60) + 7) // 2, -1, 2]
+    assert df.where("o = 5").select(address.byte_address(F.col("o"), 32, 0, 24)).first()[0] == 20
+    for bad in (address.byte_address(F.col("o"), 32, 0, 23), address.checked_index([F.col("o")], [5])[0]):
+        with pytest.raises(Exception, match="outside the buffer|out of bounds"):
+            df.where("o = 5").select(bad).collect()
+    assert df.where("o = 5").select(*address.checked_index([F.col("o")], [None])).first()[0] == 5
+
+
+def test_complex_values(spark):
+    assert buffers.decode_bytes(np.array([1 + 2j], "<c8").tobytes(), "complex64").tolist() == [1 + 2j]
+    with pytest.raises(ValueError):
+        buffers.decode_bytes(bytes(16), "float128")
+
+
+def test_running_sums_keep_rows_without_index(spark):
+    rows = spark.createDataFrame([(0, 5), (1, 7), (None, 100), (70_000, 1)], "k long, n long")
+    assert {r["k"]: r["before"] for r in prefix.exclusive_sum(rows, "k", "n", "before").collect()} == {0: 0, 1: 5, None: None, 70_000: 12}
+
+
+def test_offsets_by_layout(spark):
+    idx = [F.lit(2).cast("long"), F.lit(3).cast("long")]
+    at = lambda layout, shape: spark.range(1).select(address.element_offset(layout, idx, shape)).first()[0]
+    assert (at({"kind": "row"}, [3, 4]), at({"kind": "col"}, [3, 4]), at({"kind": "strided", "strides": [-4, 1]}, [3, 4]), at({"kind": "morton", "bits": [2, 2]}, [4, 4])) == (11, 11, -5, 14)
+    assert at({"kind": "tiled", "tile": [2, 4]}, [6, 8]) == address_of_tile(2, 3)
+    for kind in ("csr", "composite", "private"):
+        with pytest.raises(ValueError):
+            address.element_offset({"kind": kind}, idx, [3, 4])
+
+
+def address_of_tile(i, j):
+    return ((i // 2) * 2 + j // 4) * 8 + i % 2 * 4 + j % 4
