@@ -119,19 +119,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def forward(p: dict, ids: np.ndarray, h: np.ndarray, first: np.ndarray | None = None):
-    """ids (steps, streams): states before each word, gates of each step, and the last state; first: where a text begins."""
-    e, n = p["E"][ids], HIDDEN
-    states, gates = np.empty((*ids.shape, n), np.float32), np.empty((*ids.shape, 3 * n), np.float32)
-    for t in range(len(ids)):
-        if first is not None:
+def forward(p: dict, ids: np.ndarray, h: np.ndarray, first: np.ndarray | None = None, gates: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    """ids (steps, streams): states before each word, and the last state; first: where a text begins; gates: arrays to be filled with update, reset and candidate of each step."""
+    e, n, (steps, streams) = p["E"][ids], HIDDEN, ids.shape
+    states = np.empty((steps, streams, n), np.float32)
+    begins = np.zeros(steps, bool) if first is None else first.any(1)
+    for t in range(steps):
+        if begins[t]:
             h = h * ~first[t][:, None]
         states[t] = h
-        zr = _sigmoid(e[t, :, : 2 * n] + h @ p["U"])
-        new = np.tanh(e[t, :, 2 * n :] + (zr[:, n:] * h) @ p["N"])
-        gates[t, :, : 2 * n], gates[t, :, 2 * n :] = zr, new
-        h = h + zr[:, :n] * (new - h)
-    return states, gates, h
+        zr = h @ p["U"]
+        zr += e[t, :, : 2 * n]
+        _sigmoid(zr)
+        z, r = zr[:, :n], zr[:, n:]
+        new = (r * h) @ p["N"]
+        new += e[t, :, 2 * n :]
+        np.tanh(new, out=new)
+        if gates is not None:
+            gates[0][t], gates[1][t], gates[2][t] = z, r, new
+        new -= h
+        new *= z
+        new += h
+        h = new
+    return states, h
 
 
 def _softmax_at(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,24 +198,34 @@ def outputs(p: dict, s: np.ndarray, ids: np.ndarray, grads: dict | None = None):
 def train_window(p: dict, square: dict, ids: np.ndarray, first: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
     """One update from a window; the state goes on to the next. square: sums of squared gradients."""
     n, (steps, streams) = HIDDEN, ids.shape
-    states, gates, last = forward(p, ids, h, first)
+    z, r, new = (np.empty((steps, streams, n), np.float32) for _ in range(3))
+    states, last = forward(p, ids, h, first, (z, r, new))
     g: dict = {}
     lp, ds = outputs(p, states.reshape(-1, n), ids.ravel(), g)
     ds = ds.reshape(steps, streams, n)
-    de = np.empty((steps, streams, 3 * n), np.float32)
-    g["U"], g["N"], dh = np.zeros_like(p["U"]), np.zeros_like(p["N"]), np.zeros((streams, n), np.float32)
+    # what doesn't depend on later steps is computed for the whole window at once
+    keep, reset = 1 - z, r * states
+    by_z, by_r, by_new = (new - states) * z * keep, reset * (1 - r), z * (1 - new * new)
+    de, dh = np.empty((steps, streams, 3 * n), np.float32), np.zeros((streams, n), np.float32)
+    u, v, begins = np.ascontiguousarray(p["U"].T), np.ascontiguousarray(p["N"].T), first.any(1)
     for t in range(steps - 1, -1, -1):
-        s, z, r, new = states[t], gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :]
-        da = dh * z * (1 - new * new)
-        drs = da @ p["N"].T
-        de[t, :, :n] = dh * (new - s) * z * (1 - z)
-        de[t, :, n : 2 * n] = drs * s * r * (1 - r)
-        de[t, :, 2 * n :] = da
-        g["N"] += (r * s).T @ da
-        g["U"] += s.T @ de[t, :, : 2 * n]
-        dh = dh * (1 - z) + drs * r + de[t, :, : 2 * n] @ p["U"].T + ds[t]
-        dh = dh * ~first[t][:, None]
-    flat, wide = ids.ravel(), de.reshape(-1, 3 * n)
+        d = de[t]
+        da = dh * by_new[t]
+        drs = da @ v
+        np.multiply(dh, by_z[t], out=d[:, :n])
+        np.multiply(drs, by_r[t], out=d[:, n : 2 * n])
+        d[:, 2 * n :] = da
+        dh *= keep[t]
+        drs *= r[t]
+        dh += drs
+        dh += d[:, : 2 * n] @ u
+        dh += ds[t]
+        if begins[t]:
+            dh *= ~first[t][:, None]
+    all_steps = de.reshape(-1, 3 * n)
+    g["N"] = reset.reshape(-1, n).T @ all_steps[:, 2 * n :]
+    g["U"] = states.reshape(-1, n).T @ all_steps[:, : 2 * n]
+    flat, wide = ids.ravel(), all_steps
     order = np.argsort(flat.astype(np.uint16), kind="stable")
     begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
     seen, d = flat[order[begin]], np.add.reduceat(wide[order], begin, axis=0) / np.float32(ids.size)
@@ -335,8 +355,11 @@ def score_ids(p: dict, docs: list[np.ndarray]) -> np.ndarray:
             step = np.arange(at, min(at + STEPS, int(length[0])))[:, None]
             real = np.flatnonzero(step < length[:live])
             ids = flat[begin[:live] + np.minimum(step, length[:live] - 1)]
-            states, _, h = forward(p, ids, h[:live])
-            lp, _ = outputs(p, states.reshape(-1, HIDDEN)[real], ids.ravel()[real])
+            states, h = forward(p, ids, h[:live])
+            states, ids = states.reshape(-1, HIDDEN), ids.ravel()
+            if len(real) < len(ids):
+                states, ids = states[real], ids[real]
+            lp, _ = outputs(p, states, ids)
             out[some[:live]] += np.bincount(real % live, lp, minlength=live)
     return out
 

@@ -25,7 +25,7 @@ def test_gradients():
     first[0], first[3, 2] = True, True
 
     def loss(p):
-        states, _, _ = recurrent.forward(p, ids, h, first)
+        states, _ = recurrent.forward(p, ids, h, first)
         return -recurrent.outputs(p, states.reshape(-1, recurrent.HIDDEN).astype(float), ids.ravel())[0].sum() / ids.size
 
     square = {k: np.zeros_like(v) for k, v in p.items()}
