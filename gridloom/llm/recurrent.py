@@ -329,7 +329,7 @@ def learn(docs: DataFrame, rounds: int = ROUNDS, shortlist: int = SHORTLIST, rat
         some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r).select("text")
         each = arrow_map(some, _train(lexicon, spark.sparkContext.broadcast(p), rate / (r + 1)), "params binary, seen double")
         groups = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-        got = arrow_map(arrow_map(each.repartition(groups), _average, "params binary, seen double").coalesce(1), _average, "params binary, seen double").collect()
+        got = arrow_map(arrow_map(each.repartition(groups), _average, "params binary, seen double").repartition(1), _average, "params binary, seen double").collect()
         if got:
             p = pickle.loads(got[0][0])
     return counts, lexicon, p
