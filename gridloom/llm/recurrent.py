@@ -40,7 +40,7 @@ HEAD, CLASS, TAIL = 1024, 32, 32
 SHORTLIST = 100_000
 #: Text that advances in step: more makes wider matrix products.
 SCORED_BYTES = 12 << 20
-ROUNDS, RATE = 2, 0.15
+ROUNDS, RATE = 2, 0.05
 #: Different words whose partial counts a worker holds.
 COUNTED = 400_000
 #: Stands for the end of a text; no word contains white space.
