@@ -205,3 +205,37 @@ def buffer_size_bytes(n: Column, bits: int) -> Column:
     if bits == 6:
         return div(n + 3, 4) * 3
     return div(n * bits + 7, 8)
+
+
+def col_major_inverse(position: Column, shape: Sequence[Dim]) -> list[Column]:
+    return [div(position, s) % _lit(n) for s, n in zip(col_strides(shape), shape)]
+
+
+def inverse(layout: dict, position: Column, shape: Sequence[Dim]) -> list[Column]:
+    """Coordinates of a position in a layout that gives each position at most one element."""
+    kind = layout["kind"]
+    if kind == "row":
+        return row_major_inverse(position, shape)
+    if kind == "col":
+        return col_major_inverse(position, shape)
+    if kind == "morton":
+        return morton_inverse(position, layout["bits"])
+    if kind == "tiled" and all(layout.get(side, {"kind": "row"})["kind"] == "row" for side in ("outer", "inner")):
+        return tiled_inverse(position, shape, layout["tile"])
+    raise ValueError(f"no inverse of layout {kind} here")
+
+
+def padded_extent(layout: dict, shape: Sequence[int]) -> int:
+    """Positions that a layout spans, padding included."""
+    kind = layout["kind"]
+    if kind == "tiled":
+        tiles = reduce(mul, (-(-n // t) for n, t in zip(shape, layout["tile"], strict=True)), 1)
+        inner = layout.get("inner", {"kind": "row"})
+        return tiles * (padded_extent(inner, layout["tile"]) if inner["kind"] == "tiled" else reduce(mul, layout["tile"], 1))
+    if kind == "morton":
+        return 1 << sum(layout["bits"])
+    if kind == "hilbert":
+        return 1 << layout["order"] * len(shape)
+    if kind == "strided":
+        return strided_extent(shape, layout["strides"])
+    return reduce(mul, shape, 1)

@@ -47,3 +47,46 @@ def eye(spark: SparkSession, rows: int, columns: int | None = None, k: int = 0)
     columns = rows if columns is None else columns
     box = full(spark, [rows, columns], 0.0)
     return box.withColumn("v", (F.col("i1") == F.col("i0") + k).cast("double"))
+
+
+#: Types of columns that hold an element type's values; others are doubles.
+COLUMNS = {"float32": "float", "int8": "tinyint", "uint8": "smallint", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "long", "int64": "long", "uint64": "decimal(20,0)", "bool": "boolean", "int4": "tinyint", "uint4": "tinyint", "int2": "tinyint", "uint2": "tinyint"}
+
+
+def astype(cells: DataFrame, kind: str) -> DataFrame:
+    """Values in the column type of an element type; one that doesn't fit is an error under ANSI mode."""
+    return cells.withColumn("v", F.col("v").cast(COLUMNS.get(kind, "double")))
+
+
+def empty(spark: SparkSession, shape: Sequence[int], kind: str = "float32") -> DataFrame:
+    """Values are undefined by contract; here they are zeros."""
+    return astype(zeros(spark, shape), kind)
+
+
+def full_like(cells: DataFrame, value: float, kind: str | None = None) -> DataFrame:
+    """The coordinates of a dense tensor's cells with one value, of the same type unless one is given."""
+    to = COLUMNS.get(kind, "double") if kind else cells.schema["v"].dataType
+    return cells.withColumn("v", F.lit(value).cast(to))
+
+
+def zeros_like(cells: DataFrame, kind: str | None = None) -> DataFrame:
+    return full_like(cells, 0, kind)
+
+
+def ones_like(cells: DataFrame, kind: str | None = None) -> DataFrame:
+    return full_like(cells, 1, kind)
+
+
+def empty_like(cells: DataFrame, kind: str | None = None) -> DataFrame:
+    return zeros_like(cells, kind)
+
+
+def asarray(spark: SparkSession, values, kind: str | None = None) -> DataFrame:
+    """Cells of nested lists, an array or cells."""
+    if not isinstance(values, DataFrame):
+        import numpy as np
+
+        from gridloom.operators.buffers import from_numpy
+
+        values = from_numpy(spark, np.asarray(values))
+    return astype(values, kind) if kind else values

@@ -83,3 +83,87 @@ def densify(cells: DataFrame, shape: Sequence[int]) -> DataFrame:
 
 def sparsify(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("v") != 0)
+
+
+# --- compressed components alone: lookups, expansion, faults
+
+
+def spans(ptr: DataFrame, major: str) -> DataFrame:
+    """(major, pos): the row or column of each stored position, from pointers (k, ptr)."""
+    pairs = ptr.alias("a").join(ptr.alias("b"), F.col("b.k") == F.col("a.k") + 1).where(F.col("b.ptr") > F.col("a.ptr"))
+    return pairs.select(F.col("a.k").alias(major), F.explode(F.sequence(F.col("a.ptr"), F.col("b.ptr") - 1)).alias("pos"))
+
+
+def compressed_lookup(points: DataFrame, ptr: DataFrame, stored: DataFrame, major: str, minor: str) -> DataFrame:
+    """points with pos and v of CSR (major i0) or CSC (major i1) components, null where nothing is stored: one equi-join on both coordinates."""
+    cells = spans(ptr, major).join(stored, "pos").select(major, minor, "pos", "v")
+    return points.join(cells, [major, minor], "left")
+
+
+def compressed_faults(ptr: DataFrame, stored: DataFrame, minor: str, extent: int) -> DataFrame:
+    """(fault, n) of CSR or CSC components: pointers begin at 0, never fall and end at the number of stored values; indices rise within a row and lie in 0..extent - 1. Faults that don't occur have 0."""
+    zero = F.lit(0).cast("long")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), zero)
+    first = ptr.agg(count((F.col("k") == 0) & (F.col("ptr") != 0)).alias("n")).select(F.lit("start").alias("fault"), "n")
+    steps = ptr.alias("a").join(ptr.alias("b"), F.col("b.k") == F.col("a.k") + 1)
+    falling = steps.agg(count(F.col("b.ptr") < F.col("a.ptr")).alias("n")).select(F.lit("falling").alias("fault"), "n")
+    ends = ptr.agg(F.max_by("ptr", "k").alias("last")).crossJoin(stored.agg(F.count("*").alias("nnz")))  # one row each
+    last = ends.select(F.lit("end").alias("fault"), (F.coalesce("last", zero) != F.col("nnz")).cast("long").alias("n"))
+    before = F.lag(minor).over(Window.partitionBy("__row").orderBy("pos"))
+    rows = spans(ptr, "__row").join(stored, "pos").withColumn("__before", before)
+    order = rows.agg(count(F.col("__before") >= F.col(minor)).alias("n")).select(F.lit("order").alias("fault"), "n")
+    outside = stored.agg(count((F.col(minor) < 0) | (F.col(minor) >= extent)).alias("n")).select(F.lit("bounds").alias("fault"), "n")
+    return first.unionByName(falling).unionByName(last).unionByName(order).unionByName(outside)
+
+
+def csf_components(levels: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(level, parent, node, coord): the tree alone, without the coordinates above; roots have parent 0."""
+    out = levels.where("level = 0").select("level", F.lit(0).cast("long").alias("parent"), F.col("node").cast("long").alias("node"), "coord")
+    for k in range(1, len(order)):
+        path = list(order[:k])
+        above = levels.where(F.col("level") == k - 1).select(F.col("node").cast("long").alias("parent"), *path)
+        below = levels.where(F.col("level") == k).select("level", F.col("node").cast("long").alias("node"), "coord", *path)
+        out = out.unionByName(below.join(above, path).select("level", "parent", "node", "coord"))
+    return out
+
+
+def csf_expand(tree: DataFrame, values: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Components (level, parent, node, coord) and values (pos, v) to cells, in any order of the modes: one join for each level, from the leaves up."""
+    last = len(order) - 1
+    rows = tree.where(F.col("level") == last).select(F.col("node").alias("pos"), F.col("parent").alias("__at"), F.col("coord").alias(order[last]))
+    for k in range(last - 1, -1, -1):
+        up = tree.where(F.col("level") == k).select(F.col("node").alias("__at"), F.col("parent").alias("__up"), F.col("coord").alias(order[k]))
+        rows = rows.join(up, "__at").drop("__at").withColumnRenamed("__up", "__at")
+    return rows.join(values, "pos").select(*sorted(order), "pos", "v")
+
+
+def csf_find(points: DataFrame, tree: DataFrame, order: Sequence[str]) -> DataFrame:
+    """points with pos, the place of their value, or null: one join for each level, from the root down, in any order of the modes."""
+    rows = points.withColumn("__at", F.lit(0).cast("long"))
+    for k, name in enumerate(order):
+        down = tree.where(F.col("level") == k).select(F.col("parent").alias("__at"), F.col("coord").alias(name), F.col("node").alias("__next"))
+        rows = rows.join(down, ["__at", name], "left").drop("__at").withColumnRenamed("__next", "__at")
+    return rows.withColumnRenamed("__at", "pos")
+
+
+def csf_faults(tree: DataFrame, order: Sequence[str], shape: Sequence[int]) -> DataFrame:
+    """(level, fault, n), n above 0: nodes numbered from 0 without gap, coordinates within the shape and rising among siblings, parents that exist and have a child."""
+    out = None
+    for k, name in enumerate(order):
+        nodes = tree.where(F.col("level") == k)
+        extent = shape[int(name.removeprefix("i"))]
+        before = F.lag("coord").over(Window.partitionBy("parent").orderBy("node"))
+        count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+        parts = [
+            nodes.withColumn("__b", before).agg(count(F.col("__b") >= F.col("coord")).alias("n")).select(F.lit("order").alias("fault"), "n"),
+            nodes.agg(count((F.col("coord") < 0) | (F.col("coord") >= extent)).alias("n")).select(F.lit("bounds").alias("fault"), "n"),
+            nodes.agg((F.coalesce(F.max("node") + 1, F.lit(0)) != F.count_distinct("node")).cast("long").alias("n")).select(F.lit("numbers").alias("fault"), "n"),
+        ]
+        if k:
+            above = tree.where(F.col("level") == k - 1).select(F.col("node").alias("parent"))
+            parts.append(nodes.join(above, "parent", "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphans").alias("fault"), "n"))
+            parts.append(above.join(nodes.select("parent"), "parent", "left_anti").agg(F.count("*").alias("n")).select(F.lit("childless").alias("fault"), "n"))
+        for part in parts:
+            row = part.where("n > 0").select(F.lit(k).alias("level"), "fault", "n")
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions import address, elements
-from gridloom.operators import buffers, composite, create, paged, quantize, sparse, statistics
+from gridloom.operators import buffers, composite, create, layouts, paged, quantize, sparse, statistics
 from gridloom.sources import descriptor, tensorfile
 from gridloom.streaming import frames
 
@@ -97,37 +97,39 @@ def tiled_inverse(spark, sf):
     return df.select("*", j0.alias("j0"), j1.alias("j1"))
 
 
-PAIRS = "WITH s0 AS (SELECT DISTINCT l_partkey % 64 AS a, l_suppkey % 64 AS b FROM lineitem) "
+#: Bits of a key on the curves.
+BITS = 20
+PAIRS = "WITH s0 AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) "
 
 
 def _pairs(spark, sf):
-    return read(spark, sf, "lineitem").select((F.col("l_partkey") % 64).alias("a"), (F.col("l_suppkey") % 64).alias("b")).distinct()
+    return read(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
 
 
-@query(PAIRS + "SELECT a, b, " + " + ".join(f"(((a >> {k}) & 1) << {2 * k}) + (((b >> {k}) & 1) << {2 * k + 1})" for k in range(6)) + " AS code FROM s0")
+@query(PAIRS + "SELECT a, b, " + " + ".join(f"(((a >> {k}) & 1) << {2 * k}) + (((b >> {k}) & 1) << {2 * k + 1})" for k in range(BITS)) + " AS code FROM s0")
 def morton_code(spark, sf):
-    return _pairs(spark, sf).select("a", "b", address.morton([F.col("a"), F.col("b")], [6, 6]).alias("code"))
+    return _pairs(spark, sf).select("a", "b", address.morton([F.col("a"), F.col("b")], [BITS, BITS]).alias("code"))
 
 
 def _hilbert_sql() -> str:
     """The curve by quadrants from the top: d += s * s * ((3 * rx) ^ ry), then reflect and swap."""
     ctes, k = [PAIRS.rstrip() + ", t0 AS (SELECT a, b, a AS x, b AS y, 0 AS d FROM s0)"], 0
-    for s in (32, 16, 8, 4, 2, 1):
+    for s in (1 << b for b in reversed(range(BITS))):
         ctes.append(f"r{k} AS (SELECT *, CASE WHEN x & {s} > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & {s} > 0 THEN 1 ELSE 0 END AS ry FROM t{k})")
-        ctes.append(f"t{k + 1} AS (SELECT a, b, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 63 - y ELSE y END ELSE x END AS x, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 63 - x ELSE x END ELSE y END AS y, d + {s * s} * xor(3 * rx, ry) AS d FROM r{k})")
+        ctes.append(f"t{k + 1} AS (SELECT a, b, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {(1 << BITS) - 1} - y ELSE y END ELSE x END AS x, CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN {(1 << BITS) - 1} - x ELSE x END ELSE y END AS y, d + {s * s} * xor(3 * rx, ry) AS d FROM r{k})")
         k += 1
     return ", ".join(ctes) + f" SELECT a, b, CAST(d AS BIGINT) AS code FROM t{k}"
 
 
 @query(_hilbert_sql())
 def hilbert_code(spark, sf):
-    return address.hilbert(_pairs(spark, sf), ["a", "b"], 6, "code")
+    return address.hilbert(_pairs(spark, sf), ["a", "b"], BITS, "code")
 
 
 @query(PAIRS + "SELECT a, b, a AS x, b AS y FROM s0")
 def hilbert_roundtrip(spark, sf):
-    coded = address.hilbert(_pairs(spark, sf), ["a", "b"], 6, "code")
-    return address.hilbert_inverse(coded, "code", 2, 6, ["x", "y"]).drop("code")
+    coded = address.hilbert(_pairs(spark, sf), ["a", "b"], BITS, "code")
+    return address.hilbert_inverse(coded, "code", 2, BITS, ["x", "y"]).drop("code")
 
 
 @query("WITH s AS (SELECT DISTINCT l_partkey - 500 AS o FROM lineitem) SELECT o, o * 4 + 128 AS f32, CAST(floor(o / 2.0) AS BIGINT) AS int4, CAST(floor(o / 8.0) AS BIGINT) AS bit, CAST(floor(o / 4.0) AS BIGINT) * 3 AS f6, (abs(o) + 3) // 4 * 3 AS size6, (abs(o) * 4 + 7) // 8 AS size4 FROM s")
@@ -253,9 +255,10 @@ def csf_lookup(spark, sf):
     return points.join(leaves, ORDER, "left").select("q", "leaf")
 
 
-@query(MATRIX + "SELECT a.i0, b.i1, coalesce(c.v, 0.0) AS v FROM (SELECT range AS i0 FROM range(100)) a CROSS JOIN (SELECT range AS i1 FROM range(200)) b LEFT JOIN cells c ON c.i0 = a.i0 AND c.i1 = b.i1")
+@query(MATRIX + "SELECT a.i0, b.i1, coalesce(c.v, 0.0) AS v FROM (SELECT unnest(range(0, (SELECT max(i0) + 1 FROM cells))) AS i0) a CROSS JOIN (SELECT unnest(range(0, (SELECT max(i1) + 1 FROM cells))) AS i1) b LEFT JOIN cells c ON c.i0 = a.i0 AND c.i1 = b.i1")
 def densify(spark, sf):
-    return sparse.densify(matrix(spark, sf), [100, 200])
+    m = matrix(spark, sf)
+    return sparse.densify(m, [_size(m, "i0"), _size(m, "i1")])
 
 
 @query(CELLS + "SELECT i0, i1, v FROM cells WHERE i1 % 3 <> 0 AND v <> 0")
@@ -409,17 +412,13 @@ def paged_prefix_sharing(spark, sf):
 def transcode_row_to_tiled(spark, sf):
     shape = [height(spark, sf), WIDTH]
     stored = cells(spark, sf).select(address.row_major(idx(), shape).alias("at"), "v")
-    i = address.row_major_inverse(F.col("at"), shape)
-    rows = stored.select(i[0].alias("i0"), i[1].alias("i1"), "v").select(address.tiled(idx(), shape, TILE).alias("pos"), "v")
-    return rows.select(F.call_function("div", F.col("pos"), F.lit(512)).alias("tile"), "pos", "v").repartitionByRange("pos").sortWithinPartitions("pos")
+    rows = layouts.transcode(stored, shape, {"kind": "row"}, {"kind": "tiled", "tile": TILE})
+    return rows.select(F.call_function("div", F.col("pos"), F.lit(512)).alias("tile"), "pos", "v")
 
 
 @query("SELECT * FROM (VALUES ('a', 'tiled'), ('b', 'row'), ('c', 'coo')) t(tensor, chosen)")
 def layout_negotiation(spark, sf):
-    have = spark.sql("SELECT * FROM VALUES ('a', 'row', array('tiled', 'row'), true), ('b', 'row', array('morton', 'row'), false), ('c', 'coo', array('csr'), false) AS t(tensor, native, preferred, may_transcode)")
-    wanted = have.select("tensor", "native", "may_transcode", F.posexplode("preferred").alias("pos", "layout"))
-    usable = wanted.where((F.col("layout") == F.col("native")) | F.col("may_transcode")).groupBy("tensor").agg(F.min_by("layout", "pos").alias("layout"))
-    return have.join(usable, "tensor", "left").select("tensor", F.coalesce("layout", "native").alias("chosen"))
+    return layouts.negotiate(spark.sql("SELECT * FROM VALUES ('a', 'row', array('tiled', 'row'), true), ('b', 'row', array('morton', 'row'), false), ('c', 'coo', array('csr'), false) AS t(tensor, native, preferred, may_transcode)"))
 
 
 @query(CELLS + "SELECT i0, i1, v FROM cells WHERE i0 >= 40 AND i0 < 300 AND i1 >= 10 AND i1 < 30")
@@ -471,11 +470,7 @@ def csr_invariants(spark, sf):
 
 @query("SELECT tag, CASE WHEN tag IN (0, 255) THEN 'invalid' WHEN tag BETWEEN 240 AND 254 THEN 'private' WHEN tag BETWEEN 1 AND 11 OR tag = 64 THEN 'named' ELSE 'reserved' END AS class FROM (SELECT range AS tag FROM range(256))")
 def layout_tag_classes(spark, sf):
-    tag = F.col("id")
-    named = F.lit(False)
-    for t in sorted(descriptor.LAYOUTS.values()):
-        named = named | (tag == t)
-    return spark.range(256).select(tag.alias("tag"), F.when(tag.isin(0, 255), "invalid").when(tag.between(0xF0, 0xFE), "private").when(named, "named").otherwise("reserved").alias("class"))
+    return spark.range(256).select(F.col("id").alias("tag"), layouts.tag_class(F.col("id")).alias("class"))
 
 
 @query("SELECT code, CASE WHEN code IN (0, 255) THEN NULL ELSE pow(2.0, code - 127) END AS scale FROM (SELECT range AS code FROM range(256))")
@@ -539,3 +534,169 @@ def stream_roundtrip(spark, sf):
     tensorfile.write_parts(read(spark, sf, "embeddings").select("vec_id", "embedding"), folder, _shards(height(spark, sf)), _write_frames)
     frames.register(spark)
     return _decoded(spark.read.format("tensorstream").load(folder).select("descriptor", F.col("buffers")[0].alias("bytes")))
+
+
+# --- values from stored codes and parameters
+
+
+def _zero_sql(over: str) -> str:
+    """Affine codes with zero points, and their values in 32-bit floats."""
+    ends = f"least(min(CAST(v AS DOUBLE)) OVER ({over}), 0.0::DOUBLE) AS lo, greatest(max(CAST(v AS DOUBLE)) OVER ({over}), 0.0::DOUBLE) AS hi"
+    scaled = f"SELECT *, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (hi - lo) / 255 END AS s FROM (SELECT *, {ends} FROM cells)"
+    coded = f"SELECT *, CAST(round_even(-lo / s, 0) AS INT) AS z FROM ({scaled})"
+    codes = f"SELECT *, CAST(greatest(0, least(255, CAST(round_even(CAST(v AS DOUBLE) / s, 0) AS INT) + z)) AS INT) AS q FROM ({coded})"
+    return CELLS + f"SELECT i0, i1, q, CAST(CAST(s AS FLOAT) * CAST(q - z AS FLOAT) AS FLOAT) AS x FROM ({codes})"
+
+
+def _stored_affine(coded: DataFrame, scheme: str, keys: list[str]) -> DataFrame:
+    """The codes alone, valued by a table of parameters."""
+    params = coded.select(*keys, "scale", "zero").distinct()
+    return _errors(quantize.dequantize(coded.select("i0", "i1", "q", *(k for k in keys if k not in ("i0", "i1"))), params, scheme, keys))
+
+
+@query(_zero_sql("PARTITION BY i1"))
+def dequant_per_channel(spark, sf):
+    return _stored_affine(quantize.with_zero(cells(spark, sf), ["i1"]), "per_channel", ["i1"])
+
+
+@query(_zero_sql("PARTITION BY i0, i1 // 16"))
+def dequant_per_block(spark, sf):
+    rows = cells(spark, sf).withColumn("b", quantize.block_of("i1", 16))
+    return _stored_affine(quantize.with_zero(rows, ["i0", "b"]), "per_block", ["i0", "b"])
+
+
+@query(_zero_sql(""))
+def dequant_per_tensor(spark, sf):
+    coded = quantize.with_zero(cells(spark, sf).withColumn("__all", F.lit(0)), ["__all"])
+    return _stored_affine(coded, "per_tensor", [])
+
+
+@query(ORACLE_SQL["quant_nf4"])
+def dequant_nf4(spark, sf):
+    coded = quantize.nf4(cells(spark, sf), "i1", ["i0"], 16).withColumn("b", quantize.block_of("i1", 16))
+    return _errors(quantize.dequantize(coded.select("i0", "b", "i1", "q"), coded.select("i0", "b", "absmax").distinct(), "nf4", ["i0", "b"]))
+
+
+@query(ORACLE_SQL["quant_mxfp4"])
+def dequant_mxfp4(spark, sf):
+    coded = quantize.mxfp4(cells(spark, sf), "i1", ["i0"], 32).withColumn("b", quantize.block_of("i1", 32))
+    return _errors(quantize.dequantize(coded.select("i0", "b", "i1", "q"), coded.select("i0", "b", "e").distinct(), "mxfp", ["i0", "b"], "float4_e2m1"))
+
+
+MXFP_KINDS = ["float8_e4m3", "float8_e5m2", "float6_e2m3", "float6_e3m2", "int8", "int4"]
+
+
+def _mxfp_sql(kind: str) -> str:
+    """Code i1 + 2 * (i0 % 8) of the type, scaled by 2 ** (i0 % 40 - 20)."""
+    table = [float(c) for c in range(128)] if kind.startswith("int") else [elements.micro_value(c, kind) for c in range(1 << elements.BITS[kind])]
+    code = f"((i1 + 2 * (i0 % 8)) % {8 if kind == 'int4' else min(len(table), 128)})"
+    listed = ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in table)
+    value = f"[{listed}][{code} + 1]"
+    return f"SELECT '{kind}' AS kind, i0, i1, CAST(CASE WHEN isnan({value}) THEN NULL ELSE pow(2.0, i0 % 40 - 20) * {value} END AS FLOAT) AS x FROM cells"
+
+
+@query(CELLS + " UNION ALL ".join(map(_mxfp_sql, MXFP_KINDS)))
+def dequant_mxfp_kinds(spark, sf):
+    codes, out = cells(spark, sf).select("i0", "i1"), None
+    params = codes.select("i0").distinct().withColumn("e", (F.col("i0") % 40 + 107).cast("int"))
+    for kind in MXFP_KINDS:
+        top = 8 if kind == "int4" else min(128, 1 << elements.BITS[kind])
+        rows = codes.withColumn("q", ((F.col("i1") + 2 * (F.col("i0") % 8)) % top).cast("int"))
+        x = F.nanvl("x", F.lit(None).cast("float"))
+        row = quantize.dequantize(rows, params, "mxfp", ["i0"], kind).select(F.lit(kind).alias("kind"), "i0", "i1", x.alias("x"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- components alone
+
+
+@query(MATRIX + "SELECT o.o_orderkey AS q, o.i0, o.i1, c.pos, c.v FROM (SELECT o_orderkey, o_custkey % 100 AS i0, o_orderkey % 2000 AS i1 FROM orders) o LEFT JOIN (SELECT i0, i1, v, row_number() OVER (ORDER BY i1, i0) - 1 AS pos FROM cells) c ON o.i0 = c.i0 AND o.i1 = c.i1")
+def csc_lookup(spark, sf):
+    m = matrix(spark, sf)
+    n = _size(m, "i1")
+    stored = sparse.positions(m, "i1", "i0", n).select(F.col("pos").cast("long").alias("pos"), "i0", "v")
+    points = read(spark, sf, "orders").select(F.col("o_orderkey").alias("q"), (F.col("o_custkey") % 100).alias("i0"), (F.col("o_orderkey") % 2000).alias("i1"))
+    return sparse.compressed_lookup(points, sparse.pointers(m, "i1", n), stored, "i1", "i0").select("q", "i0", "i1", "pos", "v")
+
+
+BROKEN = "p AS (SELECT i0, i1, row_number() OVER (ORDER BY i0, i1) - 1 AS pos FROM cells), s AS (SELECT i0, pos, CASE WHEN pos % 97 = 5 THEN -1 ELSE i1 END AS i1 FROM p), l AS (SELECT *, lag(i1) OVER (PARTITION BY i0 ORDER BY pos) AS before FROM s) "
+
+
+@query(MATRIX + ", " + BROKEN + "SELECT 'start' AS fault, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'falling', 0 UNION ALL SELECT 'end', 0 UNION ALL SELECT 'order', CAST(count(*) FILTER (before >= i1) AS BIGINT) FROM l UNION ALL SELECT 'bounds', CAST(count(*) FILTER (i1 < 0) AS BIGINT) FROM l")
+def csr_faults(spark, sf):
+    """Indices of every 97th value are broken first."""
+    m = matrix(spark, sf)
+    n = _size(m, "i0")
+    stored = sparse.positions(m, "i0", "i1", n).select("pos", F.when(F.col("pos") % 97 == 5, -1).otherwise(F.col("i1")).alias("i1"), "v")
+    return sparse.compressed_faults(sparse.pointers(m, "i0", n), stored, "i1", _size(m, "i1"))
+
+
+MODES = ["i2", "i0", "i1"]
+
+
+def _tree(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The components of the cube, days first, and its values by leaf."""
+    c = cube(spark, sf)
+    levels = sparse.csf_levels(c, MODES)
+    values = levels.where("level = 2").select(F.col("node").cast("long").alias("pos"), *MODES).join(c, MODES).select("pos", "v")
+    return sparse.csf_components(levels, MODES), values
+
+
+@query(CUBE + "SELECT i0, i1, i2, row_number() OVER (ORDER BY i2, i0, i1) - 1 AS pos, round(v, 4) AS v FROM cells")
+def csf_expand(spark, sf):
+    tree, values = _tree(spark, sf)
+    return sparse.csf_expand(tree, values, MODES).withColumn("v", F.round("v", 4))
+
+
+@query(CUBE + "SELECT p.q, pos FROM (SELECT c_custkey AS q, c_custkey % 100 AS i0, c_custkey % 4 AS i1, 19723 + c_custkey % 30 AS i2 FROM customer) p LEFT JOIN (SELECT i0, i1, i2, row_number() OVER (ORDER BY i2, i0, i1) - 1 AS pos FROM cells) USING (i0, i1, i2)")
+def csf_find(spark, sf):
+    q = F.col("c_custkey")
+    points = read(spark, sf, "customer").select(q.alias("q"), (q % 100).alias("i0"), (q % 4).alias("i1"), (q % 30 + 19723).alias("i2"))
+    return sparse.csf_find(points, _tree(spark, sf)[0], MODES).select("q", "pos")
+
+
+# --- paged elements
+
+
+HEADS, DIM = 2, 3
+SLOTS = "WITH t AS (SELECT seq, n_tokens, CAST(coalesce(sum(pages) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seq_ptr FROM (SELECT conv_id AS seq, count(*) AS n_tokens, CAST(ceil(count(*) / 4) AS BIGINT) AS pages FROM conversations GROUP BY 1)), g AS (SELECT conv_id AS seq, turn AS t, (seq_ptr + turn // 4) * 4 + turn % 4 AS slot FROM conversations JOIN t ON conv_id = seq WHERE turn < n_tokens) "
+
+
+def _slots(spark, sf) -> DataFrame:
+    rows = tokens(spark, sf)
+    table = paged.page_table(rows, 4)
+    pages = rows.select("seq", F.call_function("div", F.col("t"), F.lit(4)).alias("p")).distinct()
+    return paged.gather(rows.select("seq", "t"), table, paged.numbered(pages, table), 4)
+
+
+@query(SLOTS + "SELECT seq, t, h, d, (slot * 2 + h) * 3 + d AS flat FROM g CROSS JOIN (SELECT range AS h FROM range(2)) CROSS JOIN (SELECT range AS d FROM range(3))")
+def paged_element_offset(spark, sf):
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = _slots(spark, sf).withColumn("h", each(HEADS)).withColumn("d", each(DIM))
+    return paged.element_offset(rows, HEADS, DIM).select("seq", "t", "h", "d", "flat")
+
+
+@query(SLOTS + "SELECT seq, t, CAST(CAST((slot % 7 + 1) / 8.0::DOUBLE AS FLOAT) * CAST(t - slot % 3 AS FLOAT) AS FLOAT) AS x FROM g")
+def paged_slot_dequant(spark, sf):
+    rows = _slots(spark, sf).select("seq", "t", "slot", F.col("t").cast("int").alias("q"))
+    scales = rows.select("slot").distinct().select("slot", ((F.col("slot") % 7 + 1) / 8).cast("float").alias("scale"), (F.col("slot") % 3).cast("int").alias("zero"))
+    return paged.dequantize(rows, scales).select("seq", "t", "x")
+
+
+# --- like another tensor
+
+
+@query(CELLS + "SELECT i0, i1, CAST(2.5 AS FLOAT) AS filled, CAST(0 AS INTEGER) AS zero, CAST(1 AS FLOAT) AS one FROM cells")
+def full_like(spark, sf):
+    c = cells(spark, sf)
+    rows = create.full_like(c, 2.5).withColumnRenamed("v", "filled").withColumn("v", F.lit(0.0))
+    rows = create.zeros_like(rows, "int32").withColumnRenamed("v", "zero").withColumn("v", F.lit(0.0).cast("float"))
+    return create.ones_like(rows).withColumnRenamed("v", "one")
+
+
+@query(CELLS + "SELECT i0 + i1 * (SELECT max(vec_id) + 1 FROM embeddings) AS pos, v FROM cells")
+def transcode_tiled_to_col(spark, sf):
+    shape = [height(spark, sf), WIDTH]
+    stored = cells(spark, sf).select(address.tiled(idx(), shape, TILE).alias("at"), "v")
+    return layouts.transcode(stored, shape, {"kind": "tiled", "tile": TILE}, {"kind": "col"})

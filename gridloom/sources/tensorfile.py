@@ -11,7 +11,7 @@ import json
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from gridloom.sources.descriptor import MAGIC, Cursor, decode, encode, need
 
@@ -204,7 +204,7 @@ def write_parts(df, folder: str, tensors_of, put) -> list[str]:
 
 
 SCHEMAS = {
-    "catalog": "name string, ordinal long, element_type string, shape array<long>, byte_offset long, layout string, buffer_bytes array<long>, descriptor binary",
+    "catalog": "name string, ordinal long, element_type string, shape array<long>, byte_offset long, layout string, buffer_bytes array<long>, descriptor binary, shard struct<parent_shape:array<long>,`offset`:array<long>>, statistics map<string,double>, quantization binary",
     "payload": "name string, buffer int, chunk int, chunk_offset long, bytes binary",
     "kv": "key string, kind string, value string",
 }
@@ -216,20 +216,21 @@ class _One(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, content: str):
-        self.path, self.content, self.only = path, content, None
+    def __init__(self, path: str, content: str, only: set[str] | None = None):
+        self.path, self.content, self.only = path, content, only
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.only = f.value
+            if isinstance(f, EqualTo | In) and f.attribute == ("name",):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = names if self.only is None else self.only & names
             yield f  # Spark tests it again
 
     def partitions(self):
         files = files_of(self.path)
         if self.content == "kv":
             return [_One((f, None)) for f in files] or [_One(("", []))]
-        return [_One((f, run)) for f in files for run in _runs([e for e in read_index(f)[0] if self.only in (None, e["name"])])] or [_One(("", []))]
+        return [_One((f, run)) for f in files for run in _runs([e for e in read_index(f)[0] if self.only is None or e["name"] in self.only])] or [_One(("", []))]
 
     def read(self, partition) -> Iterator[tuple]:
         path, entries = partition.value
@@ -244,13 +245,29 @@ class _Reader(DataSourceReader):
             for e in entries:
                 d, starts = read_entry(f, e)
                 if self.content == "catalog":
-                    yield e["name"], e["ordinal"], str(d["type"]), d["shape"], d["byte_offset"], d["layout"]["kind"], [b["byte_size"] for b in d["buffers"]], f.read_at(e["length"], e["offset"])
+                    yield e["name"], e["ordinal"], str(d["type"]), d["shape"], d["byte_offset"], d["layout"]["kind"], [b["byte_size"] for b in d["buffers"]], f.read_at(e["length"], e["offset"]), _shard(d), _statistics(d), d.get("quantization")
                     continue
                 for k, (b, start) in enumerate(zip(d["buffers"], starts)):
                     for n, at in enumerate(range(0, b["byte_size"], CHUNK)):
                         yield e["name"], k, n, at, f.read_at(min(CHUNK, b["byte_size"] - at), start + at)
 
 
+def _shard(d: dict) -> tuple | None:
+    return (d["shard"]["parent_shape"], d["shard"]["offset"]) if "shard" in d else None
+
+
+def _statistics(d: dict) -> dict | None:
+    """Those that are known, as doubles; flags are 0 or 1."""
+    return {k: float(v) for k, v in d["statistics"].items()} if "statistics" in d else None
+
+
+def load(spark, path: str, names: list[str] | None = None, content: str = "catalog"):
+    """The tensors of a file or folder, or those named; a name that isn't there gives no row."""
+    register(spark)
+    df = spark.read.format("tensorfile").option("content", content).load(path)
+    return df if names is None else df.where(df["name"].isin(names))
+
+
 def _runs(entries: list[dict]) -> list[list[dict]]:
     """Entries in runs of about SPLIT bytes, a partition each."""
     out, held = [], SPLIT

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from gridloom.sources import tensorfile
-from gridloom.sources.descriptor import FormatError, decode, encode
+from gridloom.sources import composites, tensorfile
+from gridloom.sources.descriptor import FormatError, buffer_count, check_parts, decode, encode, is_virtual, minimum_sizes
 from gridloom.streaming import frames
 
 
@@ -33,7 +33,7 @@ def test_worked_example():
         dense([8, 4], 128, shard={"parent_shape": [8, 8], "offset": [0, 4]}),
         dense([3, 3], 8, layout={"kind": "csr", "nnz": 2}, buffers=[buffer(8), buffer(16), buffer(32)], statistics={"nnz": 2, "sparsity_ratio": 7 / 9}),
         dense([2, 3, 4], 16, layout={"kind": "csf", "nnz": 4, "order": [0, 2, 1]}, buffers=[buffer(16)] * 7),
-        dense([2, 2], 16, layout={"kind": "coo", "nnz": 1, "sorted": True}, quantization=bytes(16), member=1),
+        dense([2, 2], 16, layout={"kind": "coo", "nnz": 1, "sorted": True}, buffers=[buffer(4), buffer(16)], quantization=bytes(16), member=1),
         dense([2, 2], 16, layout={"kind": "private", "tag": 0xF3, "id": 9, "data": b"abc"}),
         dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 0, "sequences": 2, "role": 1, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
         dense([8, 8], 0, layout={"kind": "composite", "rule": "overlay", "combine": "add", "members": 2}, buffers=[]),
@@ -138,6 +138,15 @@ def test_composites():
         dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 0, "pages": 5, "axis": 0, "sequences": 2, "role": 1, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
         dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 9, "sequences": 2, "role": 1, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
         dense([2, 2], 16, layout={"kind": "private", "tag": 0x03, "id": 9, "data": b"abc"}),
+        dense([2, 2], 16, layout={"kind": "coo", "nnz": 1, "sorted": True}),
+        dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 0, "sequences": 2, "role": 77, "layer": None, "index": 0}, buffers=[buffer(16)] * 3),
+        dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 0, "sequences": 2, "role": 1, "layer": None, "index": 2}, buffers=[buffer(16)] * 3),
+        dense([4], 16, buffers=[buffer(16) | {"device": 0x55}]),
+        dense([4], 16, buffers=[buffer(16) | {"device": 255}]),
+        dense([4], 16, buffers=[buffer(16) | {"device": 1, "sync": 9}]),
+        dense([4], 16, buffers=[buffer(16) | {"memory": 99}]),
+        dense([4], 16, buffers=[buffer(16) | {"memory": 3}]),
+        dense([4], 16, buffers=[buffer(16) | {"device": 1, "memory": 0xF1}]),
         dense([2, 2], 16, statistics={"nm_n": 4, "nm_m": 2}),
         dense([2, 2], 16, statistics={"value_mean": 1.0, "value_stddev": -1.0}),
     ],
@@ -145,3 +154,97 @@ def test_composites():
 def test_descriptors_that_break_a_rule(d):
     with pytest.raises(FormatError):
         encode(d)
+
+
+def test_devices_with_their_memory():
+    for device, memory in ((0, 2), (1, 3), (5, 0), (0xF0, 0xF1), (0xF0, 0)):
+        encode(dense([4], 16, buffers=[buffer(16) | {"device": device, "memory": memory}]))
+
+
+@pytest.mark.parametrize(
+    "d, sizes",
+    [
+        (dense([3, 4], 48), [48]),
+        (dense([5], 4, type="float6_e2m3"), [6]),
+        (dense([9], 2, type="bool"), [2]),
+        (dense([None, 4], 48), [None]),
+        (dense([3, 3], 12, layout={"kind": "coo", "nnz": 3, "sorted": True}), [12, 48]),
+        (dense([3, 5], 8, layout={"kind": "csr", "nnz": 2}), [8, 16, 32]),
+        (dense([3, 5], 8, layout={"kind": "csc", "nnz": 2}), [8, 16, 48]),
+        (dense([2, 3, 4], 16, layout={"kind": "csf", "nnz": 4, "order": [0, 2, 1]}), [16, 16, None, None, None, None, 32]),
+        (dense([20, 2, 8], 16, layout={"kind": "paged", "page_size": 4, "pages": 5, "axis": 0, "sequences": 2, "role": 1, "layer": None, "index": 1}), [4 * 5 * 16 * 4, None, 24]),
+        (dense([8, 8], 0, layout={"kind": "composite", "rule": "group", "combine": None, "members": 2}, buffers=[]), []),
+    ],
+)
+def test_least_sizes(d, sizes):
+    assert minimum_sizes(d) == sizes and buffer_count(d["layout"]) == len(sizes)
+    assert is_virtual(d["layout"]) == (not sizes)
+    assert check_parts(d | {"buffers": [buffer(n or 0) for n in sizes]})
+    for k, n in enumerate(sizes):
+        if n:
+            with pytest.raises(FormatError):
+                check_parts(d | {"buffers": [buffer((m or 0) - (j == k)) for j, m in enumerate(sizes)]})
+
+
+def test_named_tensors_and_catalog(spark, tmp_path, tensors):
+    path = f"{tmp_path}/t.file"
+    a = np.zeros(12, "<f4").tobytes()
+    more = [("part", dense([3, 4], 48, shard={"parent_shape": [6, 4], "offset": [3, 0]}, statistics={"nnz": 5, "has_nan": False, "has_inf": True}, quantization=b"12345678"), [a])]
+    tensorfile.write_tensorfile(path, tensors + more)
+    got = {r["name"]: r for r in tensorfile.load(spark, path, ["part", "two", "absent"]).collect()}
+    assert sorted(got) == ["part", "two"]
+    r = got["part"]
+    assert (r["shard"]["parent_shape"], r["shard"]["offset"], bytes(r["quantization"])) == ([6, 4], [3, 0], b"12345678")
+    assert r["statistics"] == {"nnz": 5.0, "has_nan": 0.0, "has_inf": 1.0}
+    assert got["two"]["shard"] is None and got["two"]["statistics"] is None and got["two"]["quantization"] is None
+    assert {r["name"] for r in tensorfile.load(spark, path, ["two"], "payload").collect()} == {"two"}
+    assert tensorfile.load(spark, path, []).count() == 0 and tensorfile.load(spark, path).count() == 4
+
+
+def _tree(nested=True):
+    head = lambda rule, n, shape: dense(shape, 0, layout={"kind": "composite", "rule": rule, "combine": None, "members": n}, buffers=[])
+    part = lambda name, a, n: {"name": name, "tensor": dense([n, 4], 16 * n, shard={"parent_shape": [4, 4], "offset": [a, 0]}), "buffers": [bytes([a]) * 16 * n]}
+    whole = {"name": "z-whole", "head": head("partition", 2, [4, 4]), "members": [part("b", 0, 1), part("a", 1, 3)]}
+    if not nested:
+        return whole
+    return {"name": "all", "head": head("group", 2, [1]), "members": [whole, {"name": "other", "tensor": dense([2], 8), "buffers": [bytes(8)]}]}
+
+
+@pytest.mark.parametrize("sorted_index", [False, True])
+def test_composites_in_files(spark, tmp_path, sorted_index):
+    path = f"{tmp_path}/c.file"
+    composites.write_composites(path, [_tree(), {"name": "after", "tensor": dense([1], 4), "buffers": [bytes(4)]}], sorted_index=sorted_index)
+    tree = composites.read_composite(path, "all")
+    assert composites.tensors_of(tree) == ["b", "a", "other"] and tree["members"][0]["head"]["layout"]["rule"] == "partition"
+    assert composites.tensors_of(composites.read_composite(path, "z-whole")) == ["b", "a"]
+    rows = tensorfile.load(spark, path, composites.tensors_of(tree), "payload").collect()
+    assert {r["name"]: bytes(r["bytes"]) for r in rows} == {"b": bytes(16), "a": b"\x01" * 48, "other": bytes(8)}
+    for name, depth in (("after", 64), ("absent", 64), ("all", 1)):
+        with pytest.raises(FormatError):
+            composites.read_composite(path, name, depth)
+
+
+def test_composites_in_streams(spark, tmp_path):
+    path = f"{tmp_path}/c.stream"
+    composites.write_composite_stream(path, [_tree()])
+    items = [(d, b) for _, _, d, _, b in frames.read_frames(open(path, "rb").read())]
+    (tree,) = frames.assemble(iter(items))
+    assert [m.get("data") for m in tree["members"][0]["members"]] == [[bytes(16)], [b"\x01" * 48]]
+
+
+def test_broken_composites_are_not_written(tmp_path):
+    gap, short = _tree(False), _tree(False)
+    gap["members"][1]["tensor"] = dense([2, 4], 32, shard={"parent_shape": [4, 4], "offset": [1, 0]})
+    gap["members"][1]["buffers"] = [bytes(32)]
+    short["members"].pop()
+    for tree in (gap, short):
+        with pytest.raises(FormatError):
+            composites.write_composites(f"{tmp_path}/x", [tree])
+    assert not list(tmp_path.iterdir())
+
+
+def test_torn_composite_in_a_file(tmp_path):
+    path = f"{tmp_path}/torn.file"
+    tensorfile.write_tensorfile(path, list(composites.flatten(_tree(False)))[:-1])
+    with pytest.raises(FormatError):
+        composites.read_composite(path, "z-whole")
