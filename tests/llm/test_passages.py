@@ -142,3 +142,15 @@ def test_hashes_depend_on_words_alone():
     assert (h[:6] == h[6:]).all() and len(set(h.tolist())) == 6
     r = hashing.range_hashes(h, np.array([0, 6, 1]), np.array([5, 11, 6]))
     assert r[0] == r[1] != r[2]
+
+
+def test_very_long_texts(spark):
+    """Passages at the far end of texts of 400,000 words."""
+    passage, filler = " ".join(f"p{k}" for k in range(40)), "fill " * 3 + "er "
+    long = " ".join(f"x{k % 977}y{k // 977}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, f"{long} {passage}"), (2, f"{filler} {passage}"), (3, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.find_contamination(docs, items).select(F.col("rid").alias("doc_id"), "n_hit").collect()}
+    assert hit == {1: 40, 2: 40, 3: 0}
+    got = {r["doc_id"]: (r["repeats"]["n_words"], r["repeats"]["n_removed"]) for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: (400_040, 40), 2: (44, 40), 3: (4, 0)}

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from gridloom.llm import common, decontaminate, packing, quality
@@ -45,3 +46,16 @@ def test_odd_rows(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.collect()} >= {1, 4}
     assert got.where("doc_id = 1 and start = 0").count() == 1  # a piece for each start of a document, which packing may cut
+
+
+@pytest.mark.parametrize("empty", [{"documents"}, {"labels"}, {"benchmark"}, {"documents", "labels", "benchmark"}])
+def test_empty_tables(spark, tmp_path, empty):
+    tables = {
+        "documents": ([(k, f"text {k} of words that differ in {k * 7}", "en", "s", 40) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, "nothing of this")], "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame([] if name in empty else rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == (set() if "documents" in empty else set(range(6)))

@@ -99,9 +99,67 @@ def test_all_training_words_reach_the_network(spark, monkeypatch):
     assert len(seen) == recurrent.ROUNDS and sum(seen) == lexicon.value.tokens > 0
 
 
+def slow_score(text, counts, lex, p):
+    """Word by word in plain double precision: class, then word of a head class, or share of a tail class."""
+    q, n = {k: v.astype(float) for k, v in p.items()}, recurrent.HIDDEN
+    h, total = np.zeros(n), 0.0
+    soft = lambda x: x - math.log(sum(math.exp(y) for y in x))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for w in (text or "").lower().encode().split() + [recurrent.END]:
+        i = lex.head[w] if w in lex.head else recurrent.HEAD + recurrent.tail_class(w)
+        classes = soft(h @ q["C"] + q["c"])
+        if i < recurrent.HEAD:
+            k = i // recurrent.CLASS
+            total += classes[k] + soft(h @ q["W"][k] + q["w"][k])[i % recurrent.CLASS]
+        else:
+            t = i - recurrent.HEAD
+            total += classes[recurrent.HEAD // recurrent.CLASS + t] + math.log((counts[w] + 0.1) / lex.tail_mass[t])
+        e = q["E"][i]
+        z, r = sigmoid(e[:n] + h @ q["U"][:, :n]), sigmoid(e[n : 2 * n] + h @ q["U"][:, n:])
+        h = (1 - z) * h + z * np.tanh(e[2 * n :] + (r * h) @ q["N"])
+    return total / math.log(10)
+
+
+def test_scores_by_brute_force(spark):
+    """Long, empty, null and repeated texts, clashing columns, words of head, tail and shortlist, and unseen ones."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.2)) % 4000}" for _ in range(6000)]
+    texts = [" ".join(words[a : a + rng.randint(1, 90)]) for a in range(0, 5900, 60)]
+    texts += [None, "", texts[0], "W1 unseen \u00e9t\u00e9 w2", " ".join(words[:3000]), " ".join(words[:3000])]
+    docs = spark.createDataFrame([(k if k % 7 else None, t, "x", 1.0, 2) for k, t in enumerate(texts)], "doc_id long, text string, word string, score double, rid int")
+    counts, lexicon, p = recurrent.learn(docs.limit(99), shortlist=1200)
+    seen = Counter({bytes(r["word"]): r["n"] for r in counts.collect()})
+    assert len(seen) > 1200 > recurrent.HEAD
+    rows = recurrent.score_texts(docs, (counts, lexicon, p)).collect()
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in rows)
+    want = sorted((k if k % 7 and k else -1, len((t or "").split()) + 1, slow_score(t, seen, lexicon.value, p)) for k, t in enumerate(texts))
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
 # --- quality
 
 
+def test_votes_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = quality.score_quality(docs, model).select("text", "score").collect()
+    for r in got[:60]:
+        v = model.embed(quality.term_counts((r["text"] or "").encode())[None])[0]
+        cosine = [float(sum(x * y for x, y in zip(v, w))) for w in model.vectors]
+        near = sorted(range(len(cosine)), key=lambda k: -cosine[k])[: quality.NEIGHBOURS]
+        power = [max(cosine[k], 1e-6) ** 8 * model.weights[k] for k in near]
+        assert r["score"] == pytest.approx(sum(w * model.labels[k] for w, k in zip(power, near)) / sum(power), abs=1e-3)
+
+
+def test_ties_of_neighbours():
+    """Equal texts of both labels in equal number: any choice among the tied is a score within 0 and 1, and equal texts have equal ones."""
+    counts = np.stack([quality.term_counts(b"one two three")] * 60)
+    model = quality.fit(counts.copy(), np.arange(60) % 2, np.array([0.5, 0.5]))
+    scores = model.score(counts[:3])
+    assert np.all((scores >= 0) & (scores <= 1)) and np.allclose(scores, scores[0])
+
+
 def test_quality_held_out(spark):
     rows = {r["doc_id"]: r for r in quality.op6_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = [(r["quality"], rows[r["doc_id"]]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()]
