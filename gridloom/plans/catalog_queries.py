@@ -492,7 +492,12 @@ def _shards(height: int):
 
 
 def _place(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridloom-files"
+    """A new folder that all executors share; only a session of one machine may use a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/gridloom-files"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -1,60 +1,88 @@
 """The stream of frames, a descriptor and its buffers each: ``format("tensorstream")``, batch and streaming.
 
 A stream ends at the end of a frame; an end within a frame is an error. A streaming query reads from the
-byte after the last whole frame; the offset is a position in bytes.
+byte after the last whole frame; the offset is a position in bytes. The driver reads descriptors alone, to find
+where frames end; executors read ranges of whole frames, one frame at a time. Options: max_descriptor and
+max_buffer in bytes, cross_machine (true: buffers must be synced by their producer).
+
+As a sink, in batch and streaming, rows (descriptor, buffers) become a file for each task, hidden until its batch is
+committed; a batch that is written again replaces its own files.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from gridloom.sources.descriptor import FormatError, decode, encode, need
-from gridloom.sources.tensorfile import file_system, files_of
+from gridloom.sources.descriptor import DYNAMIC, FormatError, decode, encode, need
+from gridloom.sources.tensorfile import SPLIT, file_system, files_of
 
 MAX_DESCRIPTOR, MAX_BUFFER = 16 << 20, 1 << 30
 SCHEMA = "frame_offset long, element_type string, shape array<long>, layout string, descriptor binary, buffers array<binary>"
 
 
-def frame(d: dict, buffers: list[bytes]) -> bytes:
+@dataclass(frozen=True)
+class Limits:
+    max_descriptor: int = MAX_DESCRIPTOR
+    max_buffer: int = MAX_BUFFER
+    cross_machine: bool = False
+
+    @classmethod
+    def of(cls, options) -> Limits:
+        return cls(int(options.get("max_descriptor", MAX_DESCRIPTOR)), int(options.get("max_buffer", MAX_BUFFER)), str(options.get("cross_machine", "false")).lower() == "true")
+
+    def check(self, d: dict) -> None:
+        need(all(b["byte_size"] <= self.max_buffer for b in d["buffers"]), "a buffer is over the limit")
+        need(not self.cross_machine or all(b.get("sync", 0) == 0 for b in d["buffers"]), "between machines, buffers are synced by their producer")
+
+
+def frame(d: dict, buffers: list[bytes], cross_machine: bool = False) -> bytes:
     need([len(b) for b in buffers] == [b["byte_size"] for b in d["buffers"]], "sizes of buffers")
+    Limits(max_buffer=DYNAMIC, cross_machine=cross_machine).check(d)
     return encode(d) + b"".join(buffers)
 
 
-def write_stream(path: str, tensors: list[tuple[dict, list[bytes]]], append: bool = False) -> None:
-    frames = [frame(d, b) for d, b in tensors]  # all checked first
+def write_stream(path: str, tensors: list[tuple[dict, list[bytes]]], append: bool = False, cross_machine: bool = False) -> None:
+    frames = [frame(d, b, cross_machine) for d, b in tensors]  # all checked first
     fs, root = file_system(path)
     with (fs.open_append_stream if append else fs.open_output_stream)(root) as out:
         for f in frames:
             out.write(f)
 
 
-def read_frames(data: bytes, at: int = 0, partial: bool = False, max_descriptor: int = MAX_DESCRIPTOR, max_buffer: int = MAX_BUFFER) -> Iterator[tuple[int, int, dict, bytes, list[bytes]]]:
-    """(start, end, descriptor, its bytes, buffers) of each frame; partial: a frame that isn't whole yet ends the reading instead of raising."""
-    while at < len(data):
-        short = lambda n: len(data) - at < n  # noqa: B023, E731
-        size = None if short(10) else struct.unpack_from("<I", data, at + 6)[0]
-        need(size is None or 20 <= size <= max_descriptor, "length of the descriptor")
-        if size is None or short(size):
+def scan(read: Callable[[int, int], bytes], at: int, end: int, partial: bool = False, limits: Limits = Limits(), payload: bool = True) -> Iterator[tuple[int, int, dict, bytes, list[bytes]]]:
+    """(start, end, descriptor, its bytes, buffers) of each frame from at, by read(position, length); partial: a frame that isn't whole yet ends the reading instead of raising. Without payload, only descriptors are read."""
+    while at < end:
+        size = struct.unpack("<I", read(at + 6, 4))[0] if end - at >= 10 else None
+        need(size is None or 20 <= size <= limits.max_descriptor, "length of the descriptor")
+        whole = size is not None and end - at >= size
+        if whole:
+            code = read(at, size)
+            d, _ = decode(code)
+            limits.check(d)
+            p = at + size
+            after = p + sum(b["byte_size"] for b in d["buffers"])
+            whole = after <= end
+        if not whole:
             if partial:
                 return
             raise FormatError("the stream ends within a frame")
-        d, end = decode(data, at)
-        need(all(b["byte_size"] <= max_buffer for b in d["buffers"]), "a buffer is over the limit")
-        total = sum(b["byte_size"] for b in d["buffers"])
-        if len(data) - end < total:
-            if partial:
-                return
-            raise FormatError("the stream ends within a frame")
-        buffers, p = [], end
-        for b in d["buffers"]:
-            buffers.append(data[p : p + b["byte_size"]])
+        buffers = []
+        for b in d["buffers"] if payload else []:
+            buffers.append(read(p, b["byte_size"]))
             p += b["byte_size"]
-        yield at, p, d, data[at:end], buffers
-        at = p
+        yield at, after, d, code, buffers
+        at = after
+
+
+def read_frames(data: bytes, at: int = 0, partial: bool = False, max_descriptor: int = MAX_DESCRIPTOR, max_buffer: int = MAX_BUFFER, cross_machine: bool = False) -> Iterator[tuple[int, int, dict, bytes, list[bytes]]]:
+    """Frames of bytes in memory."""
+    return scan(lambda p, n: data[p : p + n], at, len(data), partial, Limits(max_descriptor, max_buffer, cross_machine))
 
 
 def assemble(items: Iterator[tuple[dict, object]], depth: int = 8) -> Iterator[dict]:
@@ -107,45 +135,135 @@ def _row(item) -> tuple:
     return at, str(d["type"]), d["shape"], d["layout"]["kind"], code, buffers
 
 
-class _One(InputPartition):
-    def __init__(self, path: str):
-        self.value = path
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        self.value = path, start, end
 
 
-class _Batch(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def _read_at(f) -> Callable[[int, int], bytes]:
+    return lambda p, n: f.read_at(n, p)
 
-    def partitions(self):
-        return [_One(f) for f in files_of(self.path)] or [_One("")]
+
+def _ranges(path: str, start: int, end: int, limits: Limits) -> list[_Range]:
+    """Runs of whole frames of about SPLIT bytes."""
+    if end - start <= SPLIT:
+        return [_Range(path, start, end)] if end > start else []
+    fs, root = file_system(path)
+    out, begin = [], start
+    with fs.open_input_file(root) as f:
+        for _, after, *_ in scan(_read_at(f), start, end, False, limits, payload=False):
+            if after - begin >= SPLIT or after == end:
+                out.append(_Range(path, begin, after))
+                begin = after
+    return out
+
+
+class _Frames:
+    """Reading of a range of whole frames, on an executor."""
 
     def read(self, partition) -> Iterator[tuple]:
-        if not partition.value:
+        path, start, end = partition.value
+        if end == start:
             return
-        fs, root = file_system(partition.value)
+        fs, root = file_system(path)
         with fs.open_input_file(root) as f:
-            yield from map(_row, read_frames(f.read()))
+            yield from map(_row, scan(_read_at(f), start, end, False, self.limits))
+
+
+class _Batch(_Frames, DataSourceReader):
+    def __init__(self, path: str, limits: Limits):
+        self.path, self.limits = path, limits
+
+    def partitions(self):
+        sizes = [(f, file_system(f)) for f in files_of(self.path)]
+        found = [r for f, (fs, root) in sizes for r in _ranges(f, 0, fs.get_file_info(root).size, self.limits)]
+        return found or [_Range("", 0, 0)]
 
 
-class _Live(SimpleDataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
+class _Live(_Frames, DataSourceStreamReader):
+    def __init__(self, path: str, limits: Limits):
+        self.path, self.limits, self.at = path, limits, 0
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"at": 0}
 
-    def _since(self, at: int, to: int | None = None) -> list:
+    def latestOffset(self) -> dict:  # noqa: N802
         fs, root = file_system(self.path)
         with fs.open_input_file(root) as f:
-            data = f.read_at((f.size() if to is None else to) - at, at)
-        return [(a + at, b + at, d, c, x) for a, b, d, c, x in read_frames(data, partial=to is None)]
-
-    def read(self, start: dict):
-        items = self._since(start["at"])
-        return iter([_row(i) for i in items]), {"at": items[-1][1] if items else start["at"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        return iter([_row(i) for i in self._since(start["at"], end["at"])])
+            for _, self.at, *_ in scan(_read_at(f), self.at, f.size(), True, self.limits, payload=False):
+                pass
+        return {"at": self.at}
+
+    def partitions(self, start: dict, end: dict):
+        self.at = max(self.at, end["at"])
+        return _ranges(self.path, start["at"], end["at"], self.limits)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    name: str | None
+
+
+class _Writing:
+    def __init__(self, folder: str, limits: Limits):
+        self.folder, self.limits = folder.rstrip("/"), limits
+
+    def write(self, rows) -> _Part:
+        """One hidden file of a task's frames, each checked before it is written."""
+        fs, root = file_system(self.folder)
+        name, out = f"_{uuid.uuid4().hex}", None
+        try:
+            for r in rows:
+                d, _ = decode(bytes(r["descriptor"]))
+                data = frame(d, [bytes(b) for b in r["buffers"]], self.limits.cross_machine)
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}")
+                out.write(data)
+        finally:
+            if out is not None:
+                out.close()
+        return _Part(name if out is not None else None)
+
+    def show(self, messages, prefix: str) -> None:
+        fs, root = file_system(self.folder)
+        fs.create_dir(root, recursive=True)
+        for f in files_of(self.folder):
+            if f.rsplit("/", 1)[1].startswith(prefix):
+                fs.delete_file(f"{root}/{f.rsplit('/', 1)[1]}")
+        for k, name in enumerate(m.name for m in messages if m is not None and m.name):
+            fs.move(f"{root}/{name}", f"{root}/{prefix}{k:06d}")
+
+    def hide(self, messages) -> None:
+        fs, root = file_system(self.folder)
+        for m in messages:
+            if m is not None and m.name:
+                fs.delete_file(f"{root}/{m.name}")
+
+
+class _BatchWriter(_Writing, DataSourceWriter):
+    def __init__(self, folder: str, limits: Limits, overwrite: bool):
+        super().__init__(folder, limits)
+        self.overwrite = overwrite
+
+    def commit(self, messages) -> None:
+        fs, root = file_system(self.folder)
+        if self.overwrite:
+            fs.create_dir(root, recursive=True)
+            for f in files_of(self.folder):
+                fs.delete_file(f"{root}/{f.rsplit('/', 1)[1]}")
+        self.show(messages, f"part-{uuid.uuid4().hex}-")
+
+    def abort(self, messages) -> None:
+        self.hide(messages)
+
+
+class _StreamWriter(_Writing, DataSourceStreamWriter):
+    def commit(self, messages, batchId: int) -> None:  # noqa: N803
+        self.show(messages, f"batch-{batchId:012d}-")
+
+    def abort(self, messages, batchId: int) -> None:  # noqa: N803
+        self.hide(messages)
 
 
 class TensorStreamSource(DataSource):
@@ -157,10 +275,16 @@ class TensorStreamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(self.options["path"])
+        return _Batch(self.options["path"], Limits.of(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Live(self.options["path"], Limits.of(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _BatchWriter(self.options["path"], Limits.of(self.options), overwrite)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _Live(self.options["path"])
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
+        return _StreamWriter(self.options["path"], Limits.of(self.options))
 
 
 def register(spark) -> None:

@@ -248,3 +248,51 @@ def test_torn_composite_in_a_file(tmp_path):
     tensorfile.write_tensorfile(path, list(composites.flatten(_tree(False)))[:-1])
     with pytest.raises(FormatError):
         composites.read_composite(path, "z-whole")
+
+
+def test_stream_in_ranges(spark, tmp_path, tensors, monkeypatch):
+    path = f"{tmp_path}/s"
+    items = [(d, b) for _, d, b in tensors] * 3
+    frames.write_stream(path, items)
+    monkeypatch.setattr(frames, "SPLIT", 150)
+    size = (tmp_path / "s").stat().st_size
+    ranges = [r.value for r in frames._ranges(path, 0, size, frames.Limits())]
+    assert len(ranges) > 2 and [a for _, a, _ in ranges[1:]] == [b for _, _, b in ranges[:-1]] and ranges[-1][2] == size
+    frames.register(spark)
+    assert spark.read.format("tensorstream").load(path).count() == 9
+
+
+def test_stream_options(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    late = dense([2], 8, buffers=[buffer(8) | {"device": 1, "sync": 1}])
+    with pytest.raises(FormatError):
+        frames.write_stream(path, [(late, [bytes(8)])], cross_machine=True)
+    frames.write_stream(path, [(late, [bytes(8)])])
+    frames.register(spark)
+    assert spark.read.format("tensorstream").load(path).count() == 1
+    for option, value in (("max_buffer", 7), ("max_descriptor", 40), ("cross_machine", "true")):
+        with pytest.raises(Exception, match="FormatError"):
+            spark.read.format("tensorstream").option(option, value).load(path).count()
+
+
+def test_sink(spark, tmp_path, tensors):
+    source, out, live = f"{tmp_path}/s", f"{tmp_path}/out", f"{tmp_path}/live"
+    frames.write_stream(source, [(d, b) for _, d, b in tensors])
+    frames.register(spark)
+    df = spark.read.format("tensorstream").load(source)
+    read = lambda p: sorted((bytes(r["descriptor"]), [bytes(b) for b in r["buffers"]]) for r in spark.read.format("tensorstream").load(p).collect())
+    df.write.format("tensorstream").mode("append").save(out)
+    assert read(out) == read(source)
+    df.repartition(3).write.format("tensorstream").mode("append").save(out)
+    assert read(out) == sorted(read(source) * 2)
+    df.write.format("tensorstream").mode("overwrite").save(out)
+    assert read(out) == read(source)
+    stream = spark.readStream.format("tensorstream").load(source)
+    for _ in range(2):  # the second start finds nothing new
+        q = stream.writeStream.format("tensorstream").option("path", live).option("checkpointLocation", f"{tmp_path}/c").start()
+        q.processAllAvailable()
+        q.stop()
+    assert read(live) == read(source)
+    with pytest.raises(Exception, match="sizes of buffers"):
+        df.selectExpr("descriptor", "slice(buffers, 1, 0) buffers").limit(1).write.format("tensorstream").mode("append").save(out)
+    assert read(out) == read(source)
