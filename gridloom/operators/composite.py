@@ -65,3 +65,27 @@ def contiguous(frames: DataFrame, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy("offset")
     expected = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w), F.lit(0))
     return frames.withColumn("ok", F.col("offset") == expected).groupBy(by).agg(F.min("ok").alias("ok"))
+
+
+def shard_faults(shards: DataFrame, rank: int, size: int) -> DataFrame:
+    """(fault, n) of shards that were sent in parallel (ordinal, element_type, layout, parent, lo0, hi0, ...): they have one parent shape, type and layout, lie within
+    the parent, don't overlap, and have its volume together. Empty shards count nowhere. Of no shards, all faults are 0."""
+    zero = F.lit(0).cast("long")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), zero)
+    product = lambda xs: reduce(lambda a, b: a * b, xs)
+    facts = shards.agg(
+        (F.greatest(F.count_distinct(F.struct("parent", "element_type", "layout")), F.lit(1)) - 1).cast("long").alias("mixed"),
+        count(reduce(lambda a, b: a | b, ((F.col(f"lo{k}") < 0) | (F.col(f"hi{k}") > F.col("parent")[k]) for k in range(rank)))).alias("outside"),
+        F.coalesce(F.max(product([F.col("parent")[k] for k in range(rank)])), zero).alias("__whole"),
+        F.coalesce(F.sum(product([F.greatest(F.col(f"hi{k}") - F.col(f"lo{k}"), zero) for k in range(rank)])), zero).alias("__parts"),
+    )
+    facts = facts.withColumn("volume", (F.col("__whole") != F.col("__parts")).cast("long")).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("mixed", "outside", "volume"))), F.array("mixed", "outside", "volume"))).alias("fault", "n"))
+    boxes = shards.select("ordinal", *(f"{x}{k}" for k in range(rank) for x in ("lo", "hi")))
+    return facts.unionByName(overlaps(boxes, rank, size).agg(F.count("*").alias("n")).select(F.lit("overlap").alias("fault"), "n"))
+
+
+def resolve_dimensions(tensors: DataFrame, dims: DataFrame) -> DataFrame:
+    """tensors (tensor, shape, ...), also of a stream, with null dimensions taken from a static table (tensor, axis, n) that names each once; those it doesn't name stay null."""
+    known = dims.groupBy("tensor").agg(F.map_from_entries(F.collect_list(F.struct("axis", "n"))).alias("__known"))  # no more than 64 axes
+    shape = F.transform("shape", lambda x, k: F.coalesce(x, F.col("__known")[k]))
+    return tensors.join(known, "tensor", "left").withColumn("shape", shape).drop("__known")

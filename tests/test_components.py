@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from gridloom.functions import address
-from gridloom.operators import buffers, create, layouts, paged, quantize, sparse
+from gridloom.operators import buffers, composite, create, layouts, paged, quantize, sparse
 from pyspark.sql import functions as F
 
 ORDER, SHAPE = ["i2", "i0", "i1"], [2, 3, 4]
@@ -149,3 +149,31 @@ def test_like(spark):
     assert create.zeros_like(a, "float32").schema["v"].dataType.simpleString() == "float"
     assert np.array_equal(buffers.to_numpy(create.full_like(a, 7), [2, 2]), np.full((2, 2), 7))
     assert create.empty(spark, [2, 0]).count() == 0 and create.empty_like(a).count() == 4
+
+
+@pytest.mark.parametrize(
+    "change, fault",
+    [
+        ({}, set()),
+        ({1: ("float16", "row", [4, 4], 2, 4, 0, 4)}, {"mixed"}),
+        ({1: ("float32", "row", [4, 4], 2, 5, 0, 4)}, {"outside", "volume"}),
+        ({1: ("float32", "row", [4, 4], 3, 4, 0, 4)}, {"volume"}),
+        ({1: ("float32", "row", [4, 4], 1, 3, 0, 4)}, {"overlap"}),
+    ],
+)
+def test_parallel_shards(spark, change, fault):
+    parts = {0: ("float32", "row", [4, 4], 0, 2, 0, 4), 1: ("float32", "row", [4, 4], 2, 4, 0, 4), 2: ("float32", "row", [4, 4], 4, 4, 0, 4)} | change
+    schema = "ordinal long, element_type string, layout string, parent array<long>, lo0 long, hi0 long, lo1 long, hi1 long"
+    df = spark.createDataFrame([(k, *p) for k, p in parts.items()], schema)
+    assert {r["fault"] for r in composite.shard_faults(df, 2, 2).where("n > 0").collect()} == fault
+    assert composite.shard_faults(df.limit(0), 2, 2).where("n > 0").count() == 0
+
+
+def test_late_dimensions(spark, tmp_path):
+    schema = "tensor string, shape array<long>"
+    spark.createDataFrame([("a", [None, 4]), ("b", [None, None]), ("c", [2]), (None, [None])], schema).write.parquet(f"{tmp_path}/t")
+    dims = spark.createDataFrame([("a", 0, 9), ("b", 1, 3)], "tensor string, axis int, n long")
+    q = composite.resolve_dimensions(spark.readStream.schema(schema).parquet(f"{tmp_path}/t"), dims).writeStream.format("memory").queryName("late").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["tensor"]: r["shape"] for r in spark.table("late").collect()} == {"a": [9, 4], "b": [None, 3], "c": [2], None: [None]}
