@@ -123,3 +123,23 @@ def test_offsets_by_layout(spark):
 
 def address_of_tile(i, j):
     return ((i // 2) * 2 + j // 4) * 8 + i % 2 * 4 + j % 4
+
+
+@pytest.mark.parametrize("shape", [[3, 7], [7, 3], [1, 20], [20, 1], [0, 4], [4, 0], [5, 5]])
+@pytest.mark.parametrize("run", [1, 4, 5, 1 << 16])
+def test_densify_makes_the_box_from_the_cells(spark, monkeypatch, shape, run):
+    monkeypatch.setattr(sparse, "RUN", run)
+    cells = [(0, 0, 1.0), (0, 1, None), (2, 2, 2.0), (4, 4, 3.0), (2, 6, 4.0), (19, 0, 5.0), (0, 19, 6.0), (0, 3, 7.0), (-1, 0, 8.0), (1, -1, 9.0), (None, 1, 9.0), (2, 2, 2.5)]
+    got = sparse.densify(spark.createDataFrame(cells, "i0 int, i1 long, v float"), shape)
+    stored = {}
+    for a, b, v in cells:
+        stored.setdefault((a, b), []).append(v or 0.0)
+    want = [(a, b, v) for a in range(shape[0]) for b in range(shape[1]) for v in stored.get((a, b), [0.0])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.dtypes == [("i0", "bigint"), ("i1", "bigint"), ("v", "double")]
+
+
+def test_densify_shuffles_cells_and_not_the_box(spark):
+    box = sparse.densify(spark.createDataFrame([(3, 5, 1.0), (3999, 9999, 2.0)], "i0 long, i1 long, v double"), [4000, 10000])
+    assert "Join" not in box._jdf.queryExecution().executedPlan().toString()
+    assert box.agg({"v": "sum", "*": "count"}).first()[:] == (3.0, 40_000_000)
