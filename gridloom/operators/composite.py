@@ -28,14 +28,35 @@ def grid_keys(boxes: DataFrame, rank: int, size: int) -> DataFrame:
     return out
 
 
+#: Ordinals of equal boxes that are compared as one row, and such rows of a grid cell that one task takes on the left side.
+BLOCK, SHARE = 1 << 10, 1 << 10
+
+
+def _blocks(boxes: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """(sides, block, ordinals): boxes with extent, equal ones together in blocks of at most BLOCK."""
+    w = Window.partitionBy(*sides).orderBy("ordinal")
+    block = F.call_function("div", F.row_number().over(w) - 1, F.lit(BLOCK))
+    return boxes.select("ordinal", *sides).where("ordinal is not null").withColumn("block", block).groupBy(*sides, "block").agg(F.collect_list("ordinal").alias("ordinals"))
+
+
 def overlaps(boxes: DataFrame, rank: int, size: int) -> DataFrame:
-    """(a, b): pairs of overlapping boxes, a < b by ordinal. They meet in a common grid cell, an equi-join; each pair is given by one cell, where the intersection begins."""
-    keys, left, right = [f"g{k}" for k in range(rank)], grid_keys(boxes, rank, size).alias("a"), grid_keys(boxes, rank, size).alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    """(a, b): pairs of overlapping boxes, a < b by ordinal. Equal boxes are compared once, in blocks. Blocks meet in a common grid cell, an equi-join; each pair of them is
+    given by one cell, where the intersection begins, and only then expanded to ordinals. Full cells are dealt to several tasks."""
+    spark, keys, sides = boxes.sparkSession, [f"g{k}" for k in range(rank)], [f"{x}{k}" for k in range(rank) for x in ("lo", "hi")]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    some = boxes.where(reduce(lambda a, b: a & b, (F.col(f"hi{k}") > F.col(f"lo{k}") for k in range(rank))))
+    rows = grid_keys(_blocks(some, sides), rank, size).withColumn("id", F.struct(*sides, "block"))
+    full = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > SHARE)
+    rows = rows.join(full, keys, "left").withColumn("__shares", F.coalesce(F.call_function("div", F.col("__n"), F.lit(SHARE)) + 1, F.lit(1)))
+    left = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.col("__shares"))).repartition(tasks, *keys, "share").alias("a")
+    right = rows.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__shares") - 1))).repartition(tasks, *keys, "share").alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "share"]]
     low = [F.greatest(F.col(f"a.lo{k}"), F.col(f"b.lo{k}")) for k in range(rank)]
     meets = [low[k] < F.least(F.col(f"a.hi{k}"), F.col(f"b.hi{k}")) for k in range(rank)]
     once = [F.call_function("div", low[k], F.lit(size)) == F.col(f"a.g{k}") for k in range(rank)]
-    return left.join(right, [*same, F.col("a.ordinal") < F.col("b.ordinal"), *meets, *once]).select(F.col("a.ordinal").alias("a"), F.col("b.ordinal").alias("b"))
+    met = left.join(right, [*same, F.col("a.id") <= F.col("b.id"), *meets, *once])
+    pairs = met.select((F.col("a.id") == F.col("b.id")).alias("own"), F.explode("a.ordinals").alias("x"), F.col("b.ordinals").alias("ys")).select("own", "x", F.explode("ys").alias("y"))
+    return pairs.where((F.col("x") < F.col("y")) | (~F.col("own") & (F.col("x") > F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def locate(points: DataFrame, boxes: DataFrame, rank: int, size: int) -> DataFrame:

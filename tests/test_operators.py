@@ -143,3 +143,23 @@ def test_densify_shuffles_cells_and_not_the_box(spark):
     box = sparse.densify(spark.createDataFrame([(3, 5, 1.0), (3999, 9999, 2.0)], "i0 long, i1 long, v double"), [4000, 10000])
     assert "Join" not in box._jdf.queryExecution().executedPlan().toString()
     assert box.agg({"v": "sum", "*": "count"}).first()[:] == (3.0, 40_000_000)
+
+
+@pytest.mark.parametrize("block, share", [(1 << 10, 1 << 10), (3, 2), (1, 1)])
+def test_overlaps_of_equal_boxes(spark, monkeypatch, block, share):
+    monkeypatch.setattr(composite, "BLOCK", block)
+    monkeypatch.setattr(composite, "SHARE", share)
+    rng = np.random.default_rng(3)
+    boxes = [(int(k), *map(int, (lo0, lo0 + n0, lo1, lo1 + n1))) for k, (lo0, n0, lo1, n1) in enumerate(zip(rng.integers(0, 6, 150) * 9, rng.integers(0, 3, 150) * 8, rng.integers(0, 4, 150) * 7, rng.integers(0, 3, 150) * 9))]
+    boxes += [boxes[0], boxes[7], (boxes[9][0], 0, 40, 0, 40)]  # ordinals that recur, with the same box or another
+    df = spark.createDataFrame([*boxes, (None, 0, 9, 0, 9), (500, None, 9, 0, 9)], "ordinal long, lo0 long, hi0 long, lo1 long, hi1 long")
+    want = [(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and all(max(a[i], b[i]) < min(a[i + 1], b[i + 1]) for i in (1, 3))]
+    assert sorted(map(tuple, composite.overlaps(df, 2, 16).collect())) == sorted(want)
+
+
+def test_overlaps_are_dealt_to_tasks(spark):
+    k = F.col("id")
+    boxes = spark.range(0, 6000, 1, 1).select(k.alias("ordinal"), (k % 100 * 10).alias("lo0"), (k % 100 * 10 + 5).alias("hi0"), (k % 7).alias("lo1"), (k % 7 + 1).alias("hi1"))
+    parts = composite.overlaps(boxes, 2, 32).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(p["count"] for p in parts) == sum(n * (n - 1) // 2 for n in np.bincount([i % 700 for i in range(6000)]).tolist())
+    assert len(parts) > 4 and max(p["count"] for p in parts) < 0.5 * sum(p["count"] for p in parts)
