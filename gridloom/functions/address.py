@@ -7,7 +7,7 @@ bit arithmetic are unrolled while the plan is built, so that whole-stage code ge
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
 from operator import add, mul
 
 from pyspark.sql import Column, functions as F
@@ -112,8 +112,79 @@ def morton_inverse(code: Column, bits: Sequence[int]) -> list[Column]:
     return [_or([F.shiftleft(_bit(code, b * r + d), b) for b in range(n)]) for d, n in enumerate(bits)]
 
 
+#: Levels of the Hilbert curve that one look into a table takes. Of other ranks, the table would be too large.
+STEP = {1: 4, 2: 4, 3: 2}
+
+
+@cache
+def _curve(rank: int) -> tuple[str, str, list[int]]:
+    """The curve as an automaton. What the levels above do to a cube is one of few states: a permutation of the dimensions, a reflection of each, and a parity. Entry
+    (state, digit) of a table is (next state, digit put out), each as state << width | digit: from STEP bits of each dimension, side by side, to those of the code in the first
+    table, and back in the second. Then the states after 0, 1, ... levels of zeros, which lead back to the first one after as many levels as there are dimensions."""
+    k, width = STEP[rank], STEP[rank] * rank
+
+    def level(state, bits):
+        (perm, flip, parity), gray, digit = state, 0, 0
+        perm, flip = list(perm), list(flip)
+        now = [bits[perm[d]] ^ flip[d] for d in range(rank)]
+        for d in range(rank):
+            if now[d]:
+                flip[0] ^= 1
+            else:
+                perm[0], perm[d], flip[0], flip[d] = perm[d], perm[0], flip[d], flip[0]
+            gray ^= now[d]
+            digit = digit << 1 | (gray ^ parity)
+        return (tuple(perm), tuple(flip), parity ^ gray), digit
+
+    first = tuple(range(rank)), (0,) * rank, 0
+    zeros = [first]
+    for _ in range(rank - 1):
+        zeros.append(level(zeros[-1], (0,) * rank)[0])
+    found = list(dict.fromkeys(zeros))
+    number, to, back = {s: n for n, s in enumerate(found)}, [], []
+    for state in found:  # grows
+        row, inverse = [0] * (1 << width), [0] * (1 << width)
+        for raw in range(1 << width):
+            at, code = state, 0
+            for b in range(k - 1, -1, -1):
+                at, digit = level(at, [raw >> (rank - 1 - d) * k + b & 1 for d in range(rank)])
+                code = code << rank | digit
+            if at not in number:
+                number[at] = len(found)
+                found.append(at)
+            row[raw], inverse[code] = number[at] << width | code, number[at] << width | raw
+        to += row
+        back += inverse
+    return ",".join(map(str, to)), ",".join(map(str, back)), [number[s] << width for s in zeros]
+
+
+def _through(df, table: str, digits: list, start: int, width: int):
+    """df with columns __h0, __h1, ... of entries of the table, one for each digit; each reads the one before it."""
+    at, table = F.lit(start).cast("long"), F.split(F.lit(table), ",").cast("array<bigint>")  # folded while the plan is optimised
+    for n, digit in enumerate(digits):
+        df = df.withColumn(f"__h{n}", F.get(table, at.bitwiseOR(digit)))
+        at = F.col(f"__h{n}").bitwiseAND(F.lit(-1 << width).cast("long"))
+    return df
+
+
+def _bits(x: Column, low: int, n: int) -> Column:
+    return F.shiftright(x, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
 def hilbert(df, idx: Sequence[str], order: int, into: str):
-    """df with the position on the Hilbert curve. A step reads columns that the step before it made, so that expressions stay small."""
+    """df with the position on the Hilbert curve, of the lowest bits of each coordinate, as many as the order. Up to rank 3, a few levels at once through a table."""
+    r = len(idx)
+    if r not in STEP:
+        return _hilbert_turns(df, idx, order, into)
+    k, (table, _, zeros), x = STEP[r], _curve(r), [F.col(c).cast("long") for c in idx]
+    lows = list(range(0, order, k))[::-1]
+    digits = [_or([F.shiftleft(_bits(c, low, min(k, order - low)), (r - 1 - d) * k) for d, c in enumerate(x)]) for low in lows]
+    df = _through(df, table, digits, zeros[order % -k % r], r * k)  # levels that are missing in the first digit are zeros
+    return df.withColumn(into, _or([F.shiftleft(_bits(F.col(f"__h{n}"), 0, r * k), low * r) for n, low in enumerate(lows)])).drop(*(f"__h{n}" for n in range(len(lows))))
+
+
+def _hilbert_turns(df, idx: Sequence[str], order: int, into: str):
+    """Level by level. A step reads columns that the step before it made, so that expressions stay small."""
     r, x = len(idx), [f"__h{d}" for d in range(len(idx))]
     df = df.withColumns({x[d]: F.col(c).cast("long") for d, c in enumerate(idx)})
     for b in range(order - 1, 0, -1):
@@ -142,6 +213,16 @@ def _turn(df, x: list[str], b: int, dims) -> object:
 
 
 def hilbert_inverse(df, code: str, rank: int, order: int, into: Sequence[str]):
+    if rank not in STEP:
+        return _hilbert_inverse_turns(df, code, rank, order, into)
+    k, (_, table, zeros) = STEP[rank], _curve(rank)
+    lows = list(range(0, order, k))[::-1]
+    df = _through(df, table, [_bits(F.col(code), low * rank, rank * min(k, order - low)) for low in lows], zeros[order % -k % rank], rank * k)
+    x = [_or([F.shiftleft(_bits(F.col(f"__h{n}"), (rank - 1 - d) * k, k), low) for n, low in enumerate(lows)]) for d in range(rank)]
+    return df.withColumns(dict(zip(into, x))).drop(*(f"__h{n}" for n in range(len(lows))))
+
+
+def _hilbert_inverse_turns(df, code: str, rank: int, order: int, into: Sequence[str]):
     x = [f"__h{d}" for d in range(rank)]
     h = F.col(code)
     df = df.withColumns({x[d]: _or([F.shiftleft(_bit(h, b * rank + rank - 1 - d), b) for b in range(order)]) for d in range(rank)})

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,18 @@ def test_micro_floats():
 def test_half_decode(spark):
     row = spark.range(1).select(elements.decode_half(F.lit(0x3C00), "float16").alias("a"), elements.decode_half(F.lit(0x3F80), "bfloat16").alias("b"), elements.decode_half(F.lit(0xFC00), "float16").alias("c")).first()
     assert tuple(row) == (1.0, 1.0, float("-inf"))
+
+
+@pytest.mark.parametrize("rank, order", [(1, 7), (2, 1), (2, 4), (2, 5), (2, 20), (2, 31), (2, 32), (3, 2), (3, 5), (3, 21)])
+def test_hilbert_by_table_equals_the_turns(spark, rank, order):
+    rng = random.Random(order)
+    rows = [[rng.getrandbits(40) for _ in range(rank)] for _ in range(200)] + [[0] * rank, [(1 << order) - 1] * rank, [-1] * rank, [None] * rank]
+    names = [f"i{k}" for k in range(rank)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    df = address._hilbert_turns(address.hilbert(df, names, order, "h"), names, order, "g")
+    for inverse, into in ((address.hilbert_inverse, "j"), (address._hilbert_inverse_turns, "k")):
+        df = inverse(df, "h", rank, order, [f"{into}{k}" for k in range(rank)])
+    for r in df.collect():
+        assert r["h"] == r["g"]
+        for k in range(rank):
+            assert r[f"j{k}"] == r[f"k{k}"] == (None if r[f"i{k}"] is None else r[f"i{k}"] & (1 << order) - 1)
