@@ -128,8 +128,13 @@ def hilbert_code(spark, sf):
 
 @query(PAIRS + "SELECT a, b, a AS x, b AS y FROM s0")
 def hilbert_roundtrip(spark, sf):
-    coded = address.hilbert(_pairs(spark, sf), ["a", "b"], BITS, "code")
-    return address.hilbert_inverse(coded, "code", 2, BITS, ["x", "y"]).drop("code")
+    keys = [F.col("l_partkey"), F.col("l_suppkey")]
+    low, top = read(spark, sf, "lineitem").agg(F.coalesce(F.min(F.least(*keys)), F.lit(0)), F.coalesce(F.max(F.greatest(*keys)), F.lit(0))).first()
+    if low < 0 or top >= 1 << 32:
+        raise ValueError(f"no code of 64 bits for keys from {low} to {top}")
+    order = max(top.bit_length(), 1)
+    coded = address.hilbert(_pairs(spark, sf), ["a", "b"], order, "code")
+    return address.hilbert_inverse(coded, "code", 2, order, ["x", "y"]).drop("code")
 
 
 @query("WITH s AS (SELECT DISTINCT l_partkey - 500 AS o FROM lineitem) SELECT o, o * 4 + 128 AS f32, CAST(floor(o / 2.0) AS BIGINT) AS int4, CAST(floor(o / 8.0) AS BIGINT) AS bit, CAST(floor(o / 4.0) AS BIGINT) * 3 AS f6, (abs(o) + 3) // 4 * 3 AS size6, (abs(o) * 4 + 7) // 8 AS size4 FROM s")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import address, elements
+from gridloom.plans import catalog_queries
 
 
 def one(spark, values, expr):
@@ -69,3 +70,12 @@ def test_hilbert_by_table_equals_the_turns(spark, rank, order):
         assert r["h"] == r["g"]
         for k in range(rank):
             assert r[f"j{k}"] == r[f"k{k}"] == (None if r[f"i{k}"] is None else r[f"i{k}"] & (1 << order) - 1)
+
+
+def test_hilbert_round_trip_keeps_large_keys(spark, tmp_path):
+    keys = [(0, 0), (1 << 20, 5), ((1 << 20) - 1, 1 << 21), ((1 << 32) - 1, (1 << 32) - 1), (1 << 31, 3)]
+    spark.createDataFrame(keys, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(map(tuple, catalog_queries.hilbert_roundtrip(spark, str(tmp_path)).select("a", "b", "x", "y").collect())) == sorted(k + k for k in keys)
+    spark.createDataFrame([(1 << 32, 0)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/more/lineitem.parquet")
+    with pytest.raises(ValueError, match="no code"):
+        catalog_queries.hilbert_roundtrip(spark, f"{tmp_path}/more").collect()
