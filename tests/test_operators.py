@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import address
 from gridloom.operators import buffers, composite, create, paged, prefix, quantize, sparse, statistics
+from gridloom.plans import catalog_queries
 
 
 def cells(spark, rows, rank=2):
@@ -163,3 +164,14 @@ def test_overlaps_are_dealt_to_tasks(spark):
     parts = composite.overlaps(boxes, 2, 32).groupBy(F.spark_partition_id()).count().collect()
     assert sum(p["count"] for p in parts) == sum(n * (n - 1) // 2 for n in np.bincount([i % 700 for i in range(6000)]).tolist())
     assert len(parts) > 4 and max(p["count"] for p in parts) < 0.5 * sum(p["count"] for p in parts)
+
+
+def test_cells_are_summed_in_tasks_in_proportion_to_rows(spark, monkeypatch, tmp_path):
+    k = F.col("id")
+    items = spark.range(6000).select((k % 40).alias("l_suppkey"), F.when(k % 100 != 0, k % 700).alias("l_partkey"), F.when(k % 50 != 0, k / 4).alias("l_quantity"))
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalog_queries, "ROWS", 100)
+    cells = catalog_queries.matrix(spark, str(tmp_path))
+    sizes = cells.groupBy(F.spark_partition_id()).count().collect()
+    assert cells.rdd.getNumPartitions() == 60 and max(r["count"] for r in sizes) < 200
+    assert sorted(cells.collect(), key=str) == sorted(sparse.coo(items, ["l_suppkey", "l_partkey"], "l_quantity").collect(), key=str)
