@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridloom.llm.common import arrow_map, shared_dir, sources, stored, texts
+from gridloom.llm.common import arrow_map, shared_dir, sources, stored, strings
 from gridloom.llm.tokens import END_ID, default_path, encoder
 
 MAGIC, VERSION, BLOCK = b"GLS8", 1, 1024
@@ -170,7 +170,7 @@ def _write(path: str, kind: str, folder: str, file_ids: int):
             return pa.RecordBatch.from_pydict({"part": [part], "number": [number - 1], "file": [name], "n_docs": [len(docs)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            more = [x + end for x in enc.encode(texts(batch.column(1)))]
+            more = [x + end for x in enc.encode(strings(batch.column(1)))]
             doc_ids += batch.column(0).to_pylist()
             docs += more
             held += sum(map(len, more)) // 4

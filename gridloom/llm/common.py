@@ -60,6 +60,15 @@ def texts(column: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in text_bytes(column)]
 
 
+def strings(column: pa.Array) -> pa.Array:
+    """The same as an Arrow column."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    try:
+        return column.cast(pa.large_string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array(texts(column), pa.large_string())
+
+
 def sources(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm.common import arrow_map, sources, texts
+from gridloom.llm.common import arrow_map, sources, strings
 from gridloom.llm.tokens import END_ID, default_path, encoder
 
 WINDOW = 4096
@@ -121,7 +121,7 @@ def _pack(path: str, window: int, split_below: float, block_tokens: int):
             base += 1 + max(p[3] for p in pieces)
 
         for batch in batches:
-            more = [x + end for x in enc.encode(texts(batch.column(1)))]
+            more = [x + end for x in enc.encode(strings(batch.column(1)))]
             ids += batch.column(0).to_pylist()
             docs += more
             held += sum(map(len, more)) // 4

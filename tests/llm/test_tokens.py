@@ -1,12 +1,14 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from gridloom.llm import binary, packing, tokens
+from gridloom.llm.common import strings
 
 FILES = {"word": "word_bpe_49k.json", "byte": "byte_bpe_50k.json"}
 ODD = ["", " ", "a  b", " lead", "x\n\n y", "tab\tz", "don't  stop\n", "nb\xa0sp", "é\x1cq", "A\nB c", "\n", "<|endoftext|> x", "ΑΣ Σ İ", "a b \n d", "ﬁ é é", "１２ ½x.,!?", "A.B,!c!!", "👍🏽 ok"]
@@ -37,6 +39,38 @@ def test_encoder_on_random_texts(kind):
     same()
 
 
+@pytest.mark.parametrize("kind", FILES)
+def test_encoder_on_columns(kind):
+    want, e = reference(kind), tokens.Encoder(tokens.default_path(FILES[kind]), kind)
+    bad = pa.array([b"x", None, b"\xffa b,", "é, ×, A!B".encode(), b"x"])
+    assert strings(bad).to_pylist() == ["x", "", "\ufffda b,", "é, ×, A!B", "x"]
+
+    @settings(max_examples=100, deadline=None)
+    @given(st.lists(st.text(st.sampled_from(" \n.,#'sAéÿ×÷ßΣ1И٣אḧ\u0331<|\u00a0"), max_size=12), max_size=8), st.integers(0, 3))
+    def same(rows, first):
+        column = pa.concat_arrays([strings(bad), pa.array([*rows, *ODD], pa.large_string())]).slice(first)
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(column)] == [want(x) for x in column.to_pylist()]
+
+    same()
+
+
+def test_capitals_with_marks_that_compose_only_with_small_letters():
+    want, e = reference("word"), tokens.Encoder(tokens.default_path(FILES["word"]), "word")
+    rows = ["H\u0331 x", "J\u030ca", "T\u0308,", "Éa ÉA", "Ǆ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(rows)] == [want(x) for x in rows]
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_pieces_in_use_are_learned_once(kind, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    e, learned = tokens.Encoder(tokens.default_path(FILES[kind]), kind), Counter()
+    monkeypatch.setattr(e, "_learn", lambda pieces, f=e._learn: (learned.update(pieces), f(pieces)))
+    for i in range(50):
+        e.encode([f"a cat, a cat {'q' * i}z {'v' * i}z", "a cat,"])
+        assert len(e.cache) + len(e.older) < 80
+    assert learned[" cat"] == learned[","] == 1 and learned.total() < 120
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**60 - 1)), max_size=2500))
 def test_simple8b_round_trip(values):
