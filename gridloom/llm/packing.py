@@ -10,13 +10,14 @@ A partition packs in blocks of at most ``block_tokens`` ids, which bounds memory
 Sequence ids are unique across the table: partition * 2**40 + number within it.
 
 Nulls and empty texts: a document of its end id alone. A null doc_id stays null; repeated
-rows are packed as separate documents. Ties in length go by order of reading. An empty
-table gives no rows; other columns are ignored.
+rows are packed as separate documents. Ties in length go by order of reading, ties in
+capacity to the window opened last. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,15 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 class CapacityTree:
-    """Open windows by remaining capacity; finds the smallest capacity that is large enough in log(size) steps."""
+    """Open windows by remaining capacity; finds the smallest capacity that is large enough in log(size) steps, and of several windows the latest."""
 
     def __init__(self, size: int):
         self.leaves = 1 << (size).bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.stacks: list[list[int]] = [[] for _ in range(self.leaves)]
+        self.heaps: list[list[int]] = [[] for _ in range(self.leaves)]  # of negated windows
 
     def add(self, capacity: int, window: int) -> None:
-        self.stacks[capacity].append(window)
+        heappush(self.heaps[capacity], -window)
         i, count = capacity + self.leaves, self.count
         while i:
             count[i] += 1
@@ -60,7 +61,7 @@ class CapacityTree:
         while i:
             count[i] -= 1
             i >>= 1
-        return self.stacks[capacity].pop(), capacity
+        return -heappop(self.heaps[capacity]), capacity
 
 
 def best_fit(lengths: np.ndarray, window: int) -> list[list[int]]:

@@ -142,6 +142,11 @@ def test_best_fit_finds_the_tightest_window(lengths):
     assert sorted(map(sorted, (n[w].tolist() for w in got))) == sorted(map(sorted, (n[w].tolist() for w in want)))
 
 
+def test_of_windows_with_equal_room_the_latest_is_taken():
+    n = np.array([1, 8, 15, 43, 50])
+    assert [n[w].tolist() for w in packing.best_fit(n, 64)] == [[50, 8], [43, 15, 1]]
+
+
 def test_padding_is_little():
     lengths = np.random.default_rng(0).integers(1, 6000, 3000).tolist()
     used = defaultdict(int)
